@@ -1,13 +1,19 @@
 """Queries of the subpackage and their SQL."""
 
+from trailmark.llm.jaccard import op9_partenum_join
 from trailmark.llm.language import op5_language_id
 from trailmark.llm.mixing import mix_sql, op8_source_mixing
+from trailmark.llm.phrases import op10_decontamination
+from trailmark.llm.quality import op7_quality_divergence
 from trailmark.llm.tokens import op1_token_counts, op3_token_files
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
     "op5_language_id": op5_language_id,
+    "op7_quality_divergence": op7_quality_divergence,
     "op8_source_mixing": op8_source_mixing,
+    "op9_partenum_join": op9_partenum_join,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES = {"op8_source_mixing": mix_sql()}
