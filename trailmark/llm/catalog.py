@@ -1,5 +1,6 @@
 """Queries of the subpackage and their SQL."""
 
+from trailmark.llm.html import op2_html_blocks
 from trailmark.llm.jaccard import op9_partenum_join
 from trailmark.llm.language import op5_language_id
 from trailmark.llm.mixing import mix_sql, op8_source_mixing
@@ -11,6 +12,7 @@ from trailmark.llm.urls import op4_url_rules
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_blocks": op2_html_blocks,
     "op3_token_files": op3_token_files,
     "op4_url_rules": op4_url_rules,
     "op5_language_id": op5_language_id,

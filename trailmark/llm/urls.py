@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.llm.common import table
 
-LEAST_COUNT = 20
+LEAST_COUNT = 5
 LEAST_SUPPORT = 0.0005
 LEAST_CONFIDENCE = 0.8
 LEAST_LIFT = 1.5
@@ -26,6 +26,8 @@ MAX_RULES = 2000
 BAD = "label=bad"
 # The rules that the query is given, as verdict and rule.
 GIVEN = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+# Words of a host that label a URL as bad, for mining.
+BAD_WORDS = "adult ads bet bets casino loan loans pills poker porn spam viagra xxx".split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -114,12 +116,15 @@ def judge_urls(urls: DataFrame, rules: list, key: str = "page_id", url: str = "u
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """tokens, bad of the pages whose path names a labelled document (its first number); bad: low quality or toxic."""
+    """tokens, bad of the URLs with a label. A URL is labelled through the document that its path names by its first
+    number (bad: low quality or toxic), and as bad if its host has one of BAD_WORDS."""
     host, path = split_url("url")
     p = pages.select("url").withColumn("host", host).withColumn("path", path)
-    p = p.select(tokens("url", "host", "path").alias("tokens"), F.regexp_extract("path", r"/([0-9]{1,18})(?![0-9])", 1).try_cast("long").alias("doc_id"))
+    word = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, BAD_WORDS)))
+    p = p.select(tokens("url", "host", "path").alias("tokens"), word.alias("word"), F.regexp_extract("path", r"/([0-9]{1,18})(?![0-9])", 1).try_cast("long").alias("doc_id"))
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
-    return p.where("doc_id IS NOT NULL").join(good, "doc_id").select("tokens", "bad")
+    joined = p.join(good, "doc_id", "left").where(F.col("word") | F.col("bad").isNotNull())
+    return joined.select("tokens", (F.col("word") | F.coalesce("bad", F.lit(False))).alias("bad"))
 
 
 def op4_url_rules(spark, sf_dir: str) -> DataFrame:
