@@ -50,9 +50,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_percent: int = BU
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
-        budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """key, source, size, source_size, target, copies (whole repetitions), part (words of one more), taken."""
-    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"))
+        budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """key, source, size, source_size, target, copies (whole repetitions), part (words of one more), taken; with carry
+    also the whole input row as the struct `row`."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), *row)
     d = d.withColumn("draw", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")))
     d = d.withColumn("range", F.substring("draw", 1, RANGE_DIGITS))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -72,7 +74,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cut_range = j.where("cut").withColumn("part", F.greatest(F.lit(0), F.least("size", left)).cast("long"))
     out = whole_range.unionByName(cut_range)
     return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.col("whole").cast("long").alias("copies"), "part",
-                      (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+                      (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(["row"] if carry else []))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The input rows as often as the mix takes them: whole repetitions, and one more if half of it or more is taken."""
+    m = mix(docs, carry=True, **options)
+    more = F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    times = (F.col("copies") + more).cast("int")
+    return m.withColumn("n", times).where("n > 0").select("row", F.explode(F.expr("sequence(1, n)"))).select("row.*")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -254,17 +254,34 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return lexicon, fit_logistic(x[order], y[order], (w * len(y) / w.sum())[order])
 
 
+def _scores(scorer: Scorer, beta: np.ndarray | None, texts: list[str]) -> np.ndarray:
+    x = np.array([scorer.features(t) for t in texts]).reshape(len(texts), N_FEATURES)
+    if beta is None:
+        return np.round(1 - np.exp(-np.expm1(x[:, 0]) / 4), 12)
+    return np.round(1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -35, 35))), 12)
+
+
+def _clean(model, text: str):
+    def run(batches):
+        lexicon, beta = model.value
+        scorer = Scorer(lexicon)
+        for part in slices(batches, text):
+            yield part.filter(pa.array(_scores(scorer, beta, texts_of(part, text)) < 0.5))
+
+    return run
+
+
+def clean_rows(docs: DataFrame, model, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic."""
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text), docs.schema)
+
+
 def _score(model, key: str, text: str):
     def run(batches):
         lexicon, beta = model.value
         scorer = Scorer(lexicon)
         for part in slices(batches, text):
-            x = np.array([scorer.features(t) for t in texts_of(part, text)]).reshape(part.num_rows, -1)
-            if beta is None:
-                score = 1 - np.exp(-np.expm1(x[:, 0]) / 4)
-            else:
-                score = 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -35, 35)))
-            score = np.round(score, 12)
+            score = _scores(scorer, beta, texts_of(part, text))
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [key, "score", "predicted"])
 
     return run

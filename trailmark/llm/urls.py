@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.llm.common import table
 
-LEAST_COUNT = 5
+LEAST_COUNT = 10
 LEAST_SUPPORT = 0.0005
-LEAST_CONFIDENCE = 0.8
+LEAST_CONFIDENCE = 0.9
 LEAST_LIFT = 1.5
 MAX_RULES = 2000
 BAD = "label=bad"
@@ -110,7 +110,8 @@ def judge_urls(urls: DataFrame, rules: list, key: str = "page_id", url: str = "u
     d = d.select(key, "host", "path", given_rule(F.col("host"), F.col("path"), given).alias("g"), tokens(url, "host", "path").alias("tokens"))
     shared = urls.sparkSession.sparkContext.broadcast(rules)  # at most MAX_RULES
     d = d.select(key, "host", "path", "g.rule", "g.verdict", "tokens").mapInArrow(_match(shared, "tokens"), f"`{key}` {kind}, host string, path string, rule string, verdict string, mined_rule int")
-    named = F.element_at(F.array(*(F.lit("+".join(r[0])) for r in rules)), F.col("mined_rule") + 1) if rules else F.lit(None).cast("string")
+    name = F.element_at(F.array(*(F.lit("+".join(r[0])) for r in rules)), F.col("mined_rule") + 1) if rules else F.lit(None).cast("string")
+    named = F.when(F.col("mined_rule").isNotNull(), name)
     verdict = F.coalesce("verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return d.select(key, "host", "path", "rule", verdict.alias("verdict"), named.alias("mined_rule"))
 
