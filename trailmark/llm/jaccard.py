@@ -9,17 +9,18 @@ more than DIFFER differences; every other one has PARTS - DIFFER parts without a
 all such subsets of parts, so similar sets share one. n1 has SLACK partitions to spare: a set leaves out partitions with an
 empty subset (which it would share with strangers) as long as there are no more of them than spare ones.
 
-Spark groups signatures. Every node is verified against the smallest node of its buckets with which it shares most; links
-found make components. A bucket whose nodes are then still in different components is settled exactly: its pairs are
-compared in blocks of bounded size by 1,024-bit parity sketches, whose differing bits never exceed the sets' difference,
-and the pairs that remain are verified on whole sets. No step collects links or documents, and no bucket is capped.
+Spark groups signatures. Nodes carry 1,024-bit parity sketches, whose differing bits never exceed the sets' difference, and
+a pair is verified on whole sets only if its sketches allow it. First every node is tried with the nearest-looking of its
+buckets' smallest nodes; links found make components. Buckets whose nodes are still in different components are then
+compared in blocks of bounded size: first only the nearest-looking pairs that would join their components, then all pairs between components that have not been tried. So every link is found or implied by the components,
+without all pairs of a group of copies. No step collects links or documents, and no bucket is capped.
 
 Null texts and texts without words have empty sets and link with nothing. A text with fewer words than a shingle is one
 shingle. Rows with equal keys are joined like any others. A null key never names a component that has another key.
 """
 
 import math
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +40,47 @@ KNOWN_WORDS = 500_000
 SEEN_NODES = 200_000
 
 
+class _Hashes(dict):
+    """Word to hash, filled as words are asked for."""
+
+    def __init__(self, hash_of):
+        self.hash_of = hash_of
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = self.hash_of(word)
+        return h
+
+
 class Shingler:
     """Distinct word shingles of texts; remembers hashes of words, up to a bound."""
 
     def __init__(self, words: int):
         from xxhash import xxh3_64_intdigest
 
-        self.n, self.hash, self.known = words, xxh3_64_intdigest, {}
+        self.n, self.known = words, _Hashes(xxh3_64_intdigest)
+
+    def _hash(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all runs of n words."""
+        s = np.full(len(h) - n + 1, n, np.uint64)
+        for i in range(n):
+            s = (s ^ (s >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + h[i : len(h) - n + 1 + i]
+        return mix64(s)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Sorted distinct shingles of each text; all texts are hashed as one sequence, runs over two texts left out."""
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        known, hash_of = self.known, self.hash
         cut = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
-        for w in set().union(*cut).difference(known):
-            known[w] = hash_of(w)
+        size = np.array([len(c) for c in cut], np.int64)
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.uint64, int(size.sum()))
+        runs = self._hash(h, self.n) if len(h) >= self.n else h[:0]
+        starts = np.cumsum(size) - size
         out = []
-        for words in cut:
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            if not len(h):
-                out.append(h)
-                continue
-            n = min(self.n, len(h))
-            s = np.full(len(h) - n + 1, n, np.uint64)
-            for i in range(n):
-                s = (s ^ (s >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + h[i : len(h) - n + 1 + i]
-            out.append(np.unique(mix64(s)))
+        for a, n in zip(starts.tolist(), size.tolist()):
+            if n >= self.n:
+                out.append(np.unique(runs[a : a + n - self.n + 1]))
+            else:
+                out.append(self._hash(h[a : a + n], n) if n else h[:0])
         return out
 
 
@@ -189,23 +205,82 @@ def _verify(percent: int):
     return run
 
 
-def _bounded_pairs(percent: int):
-    def run(rows: pa.Table) -> pa.Table:
-        node, label, n, block = (rows.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-        bits = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1).view(np.uint64)
-        first, last = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == last)
-        out_a, out_b = [], []
-        for i in left:
-            apart = np.bitwise_count(bits[right] ^ bits[i]).sum(1, dtype=np.int64)
-            total = n[right] + n[i]
-            ok = (label[right] != label[i]) & (node[right] > node[i] if first == last else node[right] != node[i])
-            ok &= (apart * (100 + percent) <= total * (100 - percent)) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)
-            hit = node[right[ok]]
-            out_a.append(np.minimum(hit, node[i]))
-            out_b.append(np.maximum(hit, node[i]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(out_a), "b": cat(out_b)})
+def _gap(bits: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Differing bits as a share of what may differ, and whether the pair can be similar enough."""
+    apart = np.bitwise_count(bits ^ other).sum(-1, dtype=np.int64) * (100 + percent)
+    most = (n + m) * (100 - percent)
+    return apart / most, (apart <= most) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+
+
+def _near(percent: int):
+    """Of pairs with sketches, those that can be similar enough, and how near they look."""
+    def run(batches):
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c))
+            bits = [np.frombuffer(b"".join(col(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("a_sketch", "b_sketch")]
+            gap, ok = _gap(*bits, col("a_n").to_numpy(), col("b_n").to_numpy(), percent)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep), pa.array(gap[ok])], ["a", "b", "gap"])
+
+    return run
+
+
+def _pairs_of(node, label, n, bits, in_first, in_last, same, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    left, right = np.flatnonzero(in_first), np.flatnonzero(in_last)
+    may = label[left][:, None] != label[right][None, :]
+    may &= node[left][:, None] < node[right][None, :] if same else True
+    x, y = np.nonzero(may)
+    if not len(x):
+        return node[:0], node[:0]
+    x, y = left[x], right[y]
+    gap, ok = _gap(bits[x], bits[y], n[x], n[y], percent)
+    gap, x, y = gap[ok], x[ok], y[ok]
+    if forest:
+        parent: dict[int, int] = {}
+
+        def root(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        kept = []
+        for at in np.argsort(gap, kind="stable").tolist():
+            p, q = root(int(label[x[at]])), root(int(label[y[at]]))
+            if p != q:
+                parent[p] = q
+                kept.append(at)
+        x, y = x[kept], y[kept]
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def _block_pairs(percent: int, forest: bool):
+    """Pairs of two blocks of a bucket that lie in different components and can be similar enough. With `forest`, only the
+    nearest-looking ones that would join all components that can be joined: fewer than the blocks have components.
+    The rows come sorted by (sig, low, high); a group of at most two blocks may lie in two batches."""
+    def groups(t: pa.Table, end: bool):
+        """The pairs of all groups but the last one, which is returned as rest unless nothing follows."""
+        col = {c: t.column(c).to_numpy() for c in ("sig", "low", "high", "node", "label", "n", "block")}
+        new = np.flatnonzero(np.any([col[c][1:] != col[c][:-1] for c in ("sig", "low", "high")], axis=0)) + 1
+        cuts = [0, *new.tolist(), *([t.num_rows] if end else [])]
+        bits = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        out = []
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            first, last = col["low"][a], col["high"][a]
+            block = col["block"][a:z]
+            out.append(_pairs_of(col["node"][a:z], col["label"][a:z], col["n"][a:z], bits[a:z], block == first, block == last, first == last, percent, forest))
+        cat = lambda i: pa.array(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([cat(0), cat(1)], ["a", "b"]), t.slice(cuts[-1])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            rest = pa.concat_tables([rest, t]) if rest is not None and rest.num_rows else t
+            if rest.num_rows:
+                pairs, rest = groups(rest, False)
+                yield pairs
+        if rest is not None and rest.num_rows:
+            yield groups(rest, True)[0]
 
     return run
 
@@ -244,6 +319,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _open_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks; of buckets
+    with the same members, one."""
+    bucket = Window.partitionBy("sig")
+    of = buckets.select("sig", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = (of.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo <> hi").select("sig", "node", "label"))
+    content = open_.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("c"), F.count(F.lit(1)).alias("m"))
+    once = content.groupBy("c", "m").agg(F.min("sig").alias("sig"))
+    rank = F.row_number().over(bucket.orderBy("node"))
+    open_ = open_.join(once.select("sig", "m"), "sig").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / BLOCK).cast("int")))
+    open_ = open_.join(sketches, "node").withColumn("other", other)
+    return open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id: the smallest key reachable by links of similarity >= percent, itself included."""
     spark = docs.sparkSession
@@ -256,30 +346,28 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     buckets = written(buckets, "buckets")
     spark.sparkContext._jvm.System.gc()  # so that the large shuffle's files can go now
 
-    best = (buckets.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("shared"))
-            .groupBy("node").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader")))
-    best = written(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), "stars")
-    wanted = best.select("a").unionByName(best.select(F.col("b").alias("a"))).distinct()
+    stars = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BLOOM_BITS)).alias("bit")
-    reps = nodes.groupBy("node").agg(F.min(key).alias(key)).join(wanted.withColumnRenamed("a", "node"), "node", "left_semi")
+    reps = nodes.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
     bloom = _fixed_bloom(spark, reps.select(bit).distinct())
     sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, elements binary")
-    sets = written(sets.join(wanted.withColumnRenamed("a", "node"), "node", "left_semi"), "sets")
-    links = written(_verified(best, sets, percent), "links")
+    sets = written(sets.join(wanted, "node", "left_semi"), "sets")
+    sketches = sets.select("node", "n", "sketch").dropDuplicates(["node"])
 
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
+    near = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
+    tested = written(near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
+    links = written(_verified(tested, sets, percent), "links")
     labels = components(links)
-    of = buckets.select("sig", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = (of.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo <> hi").select("sig", "node", "label"))
-    content = open_.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("c"), F.count(F.lit(1)).alias("m"))
-    once = content.groupBy("c", "m").agg(F.min("sig").alias("sig"))  # buckets of the same nodes are settled once
-    rank = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-    open_ = open_.join(once.select("sig", "m"), "sig").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / BLOCK).cast("int")))
-    open_ = open_.join(sets.select("node", "n", "sketch").dropDuplicates(["node"]), "node").withColumn("other", other)
-    open_ = open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    pairs = open_.groupBy("sig", "low", "high").applyInArrow(_bounded_pairs(percent), "a long, b long").distinct()
-    more = written(_verified(written(pairs, "pairs"), sets, percent), "links")
-    labels = components(links.unionByName(more)) if more.head(1) else labels
+    for forest in (True, False):
+        open_ = _open_blocks(buckets, labels, sketches).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+        pairs = open_.mapInArrow(_block_pairs(percent, forest), "a long, b long").distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            continue
+        links, tested = links.unionByName(written(_verified(pairs, sets, percent), "links")), tested.unionByName(pairs)
+        labels = components(links)
 
     per_node = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = per_node.groupBy("label").agg(F.min("least").alias("component_id"))
