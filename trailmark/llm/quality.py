@@ -129,9 +129,11 @@ def with_divergence(features: DataFrame, refs: dict[str, dict]) -> DataFrame:
     if not refs:
         return features.withColumn("divergence", F.lit(None).cast("double"))
     vocabulary = sorted({w for r in refs.values() for w in r["words"]})
-    d = features.withColumn("_hits", F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary)))
+    d = features.withColumn("_hits", F.sort_array(F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))))
     d = d.withColumn("_uniq", F.array_distinct("_hits"))
-    d = d.withColumn("_shares", F.transform("_uniq", lambda w: F.struct(w.alias("w"), (F.size(F.filter("_hits", lambda x: x == w)) / F.col("n_words")).alias("p"))))
+    d = d.withColumn("_from", F.concat(F.transform("_uniq", lambda w: F.array_position("_hits", w)), F.array(F.size("_hits").cast("long") + 1)))  # runs of equal words
+    counts = F.zip_with("_from", F.slice("_from", F.lit(2), F.size("_from")), lambda a, b: (b - a) / F.col("n_words"))
+    d = d.withColumn("_shares", F.zip_with("_uniq", F.slice(counts, F.lit(1), F.size("_uniq")), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
     distances = []
     for r in refs.values():
