@@ -19,7 +19,7 @@ from trailmark.llm.common import shared_path, slices, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 600_000
+CACHED_PIECES = 1_200_000
 CACHED_CHARS = 40
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -41,6 +41,8 @@ class PieceEncoder:
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: Letters, then signs without an apostrophe: the pre-tokenizer ends a token between the two.
+    SIGNED = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)")
     #: A text without these splits at every space; a line end is fine between two other characters.
     ODD = ("  ", " \n", "\n ", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"))
 
@@ -52,6 +54,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.cached = cached
         self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         odd = text[:1] == " " or text[-1:] == " " or any(w in text for w in self.ODD)
@@ -67,10 +70,23 @@ class PieceEncoder:
         cut = [self.pieces(t) for t in texts]
         heads = self._encode([p[0] for p in cut])
         tails = [p[1:] for p in cut]
-        need = list(set().union(*tails).difference(self.known))
-        known, extra = self.known, {}
+        known, extra, signed = self.known, {}, {}
+        need = set().union(*tails).difference(known)
+        for piece in list(need):
+            if m := self.SIGNED.fullmatch(piece):
+                signed[piece] = m.groups()
+                need.discard(piece)
+        need.update(word for word, _ in signed.values() if word not in known)
+        need = list(need)
         for piece, ids in zip(need, self._encode([" " + p for p in need])):
             (known if len(piece) <= CACHED_CHARS else extra)[piece] = ids
+        signs = list({s for _, s in signed.values()}.difference(self.signs))
+        self.signs.update(zip(signs, self._encode(signs)))
+        for piece, (word, sign) in signed.items():
+            ids = (known[word] if word in known else extra[word]) + self.signs[sign]
+            (known if len(piece) <= CACHED_CHARS else extra)[piece] = ids
+        if len(self.signs) > 10_000:
+            self.signs.clear()
         if extra:
             get = lambda p: known[p] if p in known else extra[p]
         else:
