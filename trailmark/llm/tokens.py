@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trailmark.llm.common import shared_path, slices, texts_of
+from trailmark.llm.common import shared_path, slices, table, texts_of, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -210,9 +210,7 @@ def token_digest(spark, out: str, key: str = "doc_id") -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    from trailmark.llm.common import table
-
-    return length_report(length_histogram(table(spark, sf_dir, "documents")))
+    return length_report(written(length_histogram(table(spark, sf_dir, "documents")), "lengths"))  # read twice by the report
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
@@ -222,6 +220,4 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
-    from trailmark.llm.common import table
-
     return encode_documents(table(spark, sf_dir, "documents"))
