@@ -19,6 +19,7 @@ Null texts and texts without words have empty sets and link with nothing. A text
 shingle. Rows with equal keys are joined like any others. A null key never names a component that has another key.
 """
 
+import gc
 import math
 from itertools import chain, combinations
 
@@ -334,6 +335,12 @@ def _open_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) ->
     return open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Has Spark's cleaner remove the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id: the smallest key reachable by links of similarity >= percent, itself included."""
     spark = docs.sparkSession
@@ -344,7 +351,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     bucket = Window.partitionBy("sig")
     buckets = sigs.withColumn("leader", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("leader <> last").select("sig", "node", "leader")
     buckets = written(buckets, "buckets")
-    spark.sparkContext._jvm.System.gc()  # so that the large shuffle's files can go now
+    _let_go(spark)
 
     stars = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
@@ -359,14 +366,21 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     near = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
     tested = written(near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
     links = written(_verified(tested, sets, percent), "links")
+    _let_go(spark)
     labels = components(links)
     for forest in (True, False):
         open_ = _open_blocks(buckets, labels, sketches).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
         pairs = open_.mapInArrow(_block_pairs(percent, forest), "a long, b long").distinct()
+        if forest:  # one pair is enough to join two components
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+            named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            x, y = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
+            pairs = named.groupBy(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):
             continue
         links, tested = links.unionByName(written(_verified(pairs, sets, percent), "links")), tested.unionByName(pairs)
+        _let_go(spark)
         labels = components(links)
 
     per_node = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
