@@ -11,7 +11,8 @@ empty subset (which it would share with strangers) as long as there are no more
 
 Spark groups signatures. Nodes carry 1,024-bit parity sketches, whose differing bits never exceed the sets' difference, and
 a pair is verified on whole sets only if its sketches allow it. First every node is tried with the nearest-looking of its
-buckets' smallest nodes; links found make components. Buckets whose nodes are still in different components are then
+buckets' smallest nodes, and with the smallest node that has the same lowest hash under each of three hashes; links found
+make components. Buckets whose nodes are still in different components are then
 compared in blocks of bounded size: first only the nearest-looking pairs that would join their components, then all pairs between components that have not been tried. So every link is found or implied by the components,
 without all pairs of a group of copies. No step collects links or documents, and no bucket is capped.
 
@@ -39,6 +40,7 @@ BLOCK = 256
 BLOOM_BITS = 1 << 24
 KNOWN_WORDS = 500_000
 SEEN_NODES = 200_000
+LOWEST = 3
 
 
 class _Hashes(dict):
@@ -185,8 +187,9 @@ def _candidate_sets(words: int, text: str, bloom):
             if sets:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["node", "n", "sketch", "elements"])
+                     pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([[int(mix64(s, 21 + i).min().view(np.int64)) for i in range(LOWEST)] for s in sets], pa.list_(pa.int64()))],
+                    ["node", "n", "sketch", "elements", "lowest"])
 
     return run
 
@@ -358,13 +361,16 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BLOOM_BITS)).alias("bit")
     reps = nodes.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
     bloom = _fixed_bloom(spark, reps.select(bit).distinct())
-    sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, elements binary")
+    sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, elements binary, lowest array<long>")
     sets = written(sets.join(wanted, "node", "left_semi"), "sets")
     sketches = sets.select("node", "n", "sketch").dropDuplicates(["node"])
 
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
-    near = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
-    tested = written(near.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b"), "pairs")
+    near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
+    best = near(stars).groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
+    alike = sets.select(F.col("node").alias("b"), F.posexplode("lowest").alias("i", "low"))  # similar sets often share a lowest hash
+    alike = alike.withColumn("a", F.min("b").over(Window.partitionBy("i", "low"))).where("a <> b").select("a", "b").distinct()
+    tested = written(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
     links = written(_verified(tested, sets, percent), "links")
     _let_go(spark)
     labels = components(links)
