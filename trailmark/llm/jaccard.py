@@ -9,8 +9,9 @@ more than DIFFER differences; every other one has PARTS - DIFFER parts without a
 all such subsets of parts, so similar sets share one. n1 has SLACK partitions to spare: a set leaves out partitions with an
 empty subset (which it would share with strangers) as long as there are no more of them than spare ones.
 
-Spark groups signatures. Nodes carry 1,024-bit parity sketches, whose differing bits never exceed the sets' difference, and
-a pair is verified on whole sets only if its sketches allow it. First every node is tried with the nearest-looking of its
+Spark groups signatures; of buckets with the same members one is kept. Nodes carry 1,024-bit parity sketches, whose differing
+bits never exceed the sets' difference, and fine ones of as many bits as the set has elements; a pair is verified on whole
+sets only if both kinds allow it. First every node is tried with the nearest-looking of its
 buckets' smallest nodes, and with the smallest node that has the same lowest hash under each of three hashes; links found
 make components. Buckets whose nodes are still in different components are then
 compared in blocks of bounded size: first only the nearest-looking pairs that would join their components, then all pairs between components that have not been tried. So every link is found or implied by the components,
@@ -41,6 +42,7 @@ BLOOM_BITS = 1 << 24
 KNOWN_WORDS = 500_000
 SEEN_NODES = 200_000
 LOWEST = 3
+FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
 
 class _Hashes(dict):
@@ -93,8 +95,22 @@ def node_of(s: np.ndarray) -> int:
     return int(np.array([total & (2**64 - 1)], np.uint64).view(np.int64)[0])
 
 
-def sketch_of(s: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((mix64(s, 11) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+def sketch_of(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    return np.packbits(np.bincount((mix64(s, 11) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def fine_of(s: np.ndarray) -> bytes:
+    """A sketch of as many bits as the set has elements or more, a power of two: 1/64 to 1/32 of the set."""
+    return sketch_of(s, max(SKETCH_BITS, 1 << (len(s) - 1).bit_length()))
+
+
+def fine_gap(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two fine sketches, the longer one folded to the shorter; never above the sets' difference."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def bands(percent: int, size: int) -> list[tuple[int, int]]:
@@ -187,9 +203,9 @@ def _candidate_sets(words: int, text: str, bloom):
             if sets:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([sketch_of(s) for s in sets], pa.binary()), pa.array([fine_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
                      pa.array([[int(mix64(s, 21 + i).min().view(np.int64)) for i in range(LOWEST)] for s in sets], pa.list_(pa.int64()))],
-                    ["node", "n", "sketch", "elements", "lowest"])
+                    ["node", "n", "sketch", "fine", "elements", "lowest"])
 
     return run
 
@@ -197,7 +213,7 @@ def _candidate_sets(words: int, text: str, bloom):
 def _verify(percent: int):
     def run(batches):
         for b in batches:
-            a, z = (b.column(b.schema.get_field_index(c)) for c in ("a_set", "b_set"))
+            a, z = (b.column(b.schema.get_field_index(c)) for c in ("a_elements", "b_elements"))
             ok = []
             for x, y in zip(a, z):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -229,6 +245,19 @@ def _near(percent: int):
     return run
 
 
+def _finer(percent: int):
+    """Of pairs with fine sketches, those that can be similar enough."""
+    def run(batches):
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c))
+            most = (col("a_n").to_numpy() + col("b_n").to_numpy()) * (100 - percent)
+            gap = [fine_gap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(col("a_fine"), col("b_fine"))]
+            keep = pa.array(np.array(gap, np.int64) * (100 + percent) <= most)
+            yield pa.RecordBatch.from_arrays([col("a").filter(keep), col("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _pairs_of(node, label, n, bits, in_first, in_last, same, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     left, right = np.flatnonzero(in_first), np.flatnonzero(in_last)
     may = label[left][:, None] != label[right][None, :]
@@ -289,10 +318,21 @@ def _block_pairs(percent: int, forest: bool):
     return run
 
 
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both sets, as a_... and b_...; the sets' other rows aren't shuffled if the pairs are few."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if pairs.count() <= FEW_PAIRS:
+        sets = sets.join(F.broadcast(nodes), "node", "left_semi")
+    side = lambda c: sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{x}" for x in columns for c in "ab"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _sides(pairs, sets, "n", "fine").mapInArrow(_finer(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("a"), F.col("elements").alias("a_set"))
-    two = sets.select(F.col("node").alias("b"), F.col("elements").alias("b_set"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "a_set", "b_set").mapInArrow(_verify(percent), "a long, b long")
+    return _sides(pairs, sets, "elements").mapInArrow(_verify(percent), "a long, b long")
 
 
 def _fixed_bloom(spark: SparkSession, keys: DataFrame):
@@ -323,16 +363,26 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _distinct_buckets(sigs: DataFrame) -> DataFrame:
+    """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
+    are dealt out once; near copies share many, so that few buckets are left of them."""
+    bucket = Window.partitionBy("sig")
+    once = sigs.repartition("sig").dropDuplicates(["sig", "node"])
+    members = (once.withColumn("leader", F.min("node").over(bucket)).withColumn("m", F.count(F.lit(1)).over(bucket))
+               .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(bucket)).where("m > 1"))
+    members = written(members, "members")
+    first = members.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
+    return written(members.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
+
+
 def _open_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks; of buckets
-    with the same members, one."""
+    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks."""
     bucket = Window.partitionBy("sig")
-    of = buckets.select("sig", "node").distinct().join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = (of.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo <> hi").select("sig", "node", "label"))
-    content = open_.groupBy("sig").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("c"), F.count(F.lit(1)).alias("m"))
-    once = content.groupBy("c", "m").agg(F.min("sig").alias("sig"))
+    of = buckets.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = of.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo <> hi")
+    open_ = open_.withColumn("m", F.count(F.lit(1)).over(bucket)).select("sig", "node", "label", "m")
     rank = F.row_number().over(bucket.orderBy("node"))
-    open_ = open_.join(once.select("sig", "m"), "sig").withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
+    open_ = open_.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / BLOCK).cast("int")))
     open_ = open_.join(sketches, "node").withColumn("other", other)
     return open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -351,9 +401,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     kind = dict(docs.dtypes)[key]
     nodes = written(docs.mapInArrow(_nodes(words, key, text), f"`{key}` {kind}, n_shingles long, node long"), "nodes")
     sigs = docs.select(text).mapInArrow(_signatures(words, percent, text), "sig long, node long")
-    bucket = Window.partitionBy("sig")
-    buckets = sigs.withColumn("leader", F.min("node").over(bucket)).withColumn("last", F.max("node").over(bucket)).where("leader <> last").select("sig", "node", "leader")
-    buckets = written(buckets, "buckets")
+    buckets = _distinct_buckets(sigs)
     _let_go(spark)
 
     stars = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
@@ -361,7 +409,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BLOOM_BITS)).alias("bit")
     reps = nodes.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
     bloom = _fixed_bloom(spark, reps.select(bit).distinct())
-    sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, elements binary, lowest array<long>")
+    sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, fine binary, elements binary, lowest array<long>")
     sets = written(sets.join(wanted, "node", "left_semi"), "sets")
     sketches = sets.select("node", "n", "sketch").dropDuplicates(["node"])
 
@@ -370,19 +418,22 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     best = near(stars).groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     alike = sets.select(F.col("node").alias("b"), F.posexplode("lowest").alias("i", "low"))  # similar sets often share a lowest hash
     alike = alike.withColumn("a", F.min("b").over(Window.partitionBy("i", "low"))).where("a <> b").select("a", "b").distinct()
-    tested = written(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
+    likely = written(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
+    tested = written(_possible(likely, sets, percent), "pairs")
     links = written(_verified(tested, sets, percent), "links")
     _let_go(spark)
     labels = components(links)
     for forest in (True, False):
         open_ = _open_blocks(buckets, labels, sketches).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
         pairs = open_.mapInArrow(_block_pairs(percent, forest), "a long, b long").distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = written(_possible(pairs, sets, percent), "pairs")
         if forest:  # one pair is enough to join two components
             of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
             named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
             x, y = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
             pairs = named.groupBy(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = written(pairs, "pairs")
         if not pairs.head(1):
             continue
         links, tested = links.unionByName(written(_verified(pairs, sets, percent), "links")), tested.unionByName(pairs)
