@@ -1,5 +1,7 @@
 """What the operators share: reading, batches of bounded size, the shared folder, the held-out fold."""
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,8 +42,17 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Returns memory that earlier tasks of this worker have freed: workers live on and the allocators keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of each slice hold about `limit` bytes; a longer text comes alone."""
+    release()
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size, dtype=np.int64)
