@@ -9,6 +9,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from trailmark.llm.common import shared_path, slices, table, texts_of, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 700_000
+JOINED_PIECES = 512
 CACHED_CHARS = 40
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -37,7 +39,9 @@ class PieceEncoder:
 
     The byte-level pre-tokenizer ends a token before every single space between two other characters, and no
     merge crosses such an end; so texts are cut there, and each distinct piece is encoded once by the library.
-    Memory is bounded: short pieces only, and a full cache is emptied.
+    New pieces without white space go to the library many at a time, joined by spaces: only a token at the start of
+    a piece starts with a space, so the ids are cut there. Memory is bounded: short pieces only, and a full cache
+    keeps those of the texts at hand.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,6 +57,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cached = cached
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level models write a space
         self.known: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {}
 
@@ -63,22 +70,38 @@ class PieceEncoder:
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it; the pieces have no white space."""
+        out = []
+        for at in range(0, len(pieces), JOINED_PIECES):
+            part = pieces[at : at + JOINED_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):  # a tokenizer that splits otherwise
+                out += self._encode([" " + p for p in part])
+                continue
+            raw, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+            out += [raw[a:z] for a, z in zip(edges, edges[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.cached:
-            self.known.clear()
         cut = [self.pieces(t) for t in texts]
         heads = self._encode([p[0] for p in cut])
         tails = [p[1:] for p in cut]
+        used = set().union(*tails)
+        if len(self.known) > self.cached:
+            self.known = {p: self.known[p] for p in used if p in self.known}
         known, extra, signed = self.known, {}, {}
-        need = set().union(*tails).difference(known)
+        need = used.difference(known)
         for piece in list(need):
             if m := self.SIGNED.fullmatch(piece):
                 signed[piece] = m.groups()
                 need.discard(piece)
         need.update(word for word, _ in signed.values() if word not in known)
-        need = list(need)
-        for piece, ids in zip(need, self._encode([" " + p for p in need])):
+        white = [p for p in need if p.split() != [p]]
+        need = list(need.difference(white))
+        for piece, ids in (*zip(need, self._after_space(need)), *zip(white, self._encode([" " + p for p in white]))):
             (known if len(piece) <= CACHED_CHARS else extra)[piece] = ids
         signs = list({s for _, s in signed.values()}.difference(self.signs))
         self.signs.update(zip(signs, self._encode(signs)))
@@ -94,9 +117,15 @@ class PieceEncoder:
         return [h + b"".join(map(get, t)) for h, t in zip(heads, tails)]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of a Python worker: later tasks find the pieces of earlier ones."""
+    return PieceEncoder(path)
+
+
 def _doc_lengths(path: str, text: str):
     def run(batches):
-        encoder, seen = PieceEncoder(path), Counter()
+        encoder, seen = encoder_of(path), Counter()
         for part in slices(batches, text):
             seen.update(len(x) // 4 for x in encoder.encode(texts_of(part, text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
@@ -150,7 +179,7 @@ def _encoded(path: str, key: str, text: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, shard, at = PieceEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, at = encoder_of(path), TaskContext.get().partitionId(), 0
         for part in slices(batches, text):
             ids = [x + end for x in encoder.encode(texts_of(part, text))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
