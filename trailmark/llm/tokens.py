@@ -92,7 +92,7 @@ class PieceEncoder:
         used = set().union(*tails)
         if len(self.known) > self.cached:
             self.known = {p: self.known[p] for p in used if p in self.known}
-        known, extra, signed = self.known, {}, {}
+        known, signed = self.known, {}
         need = used.difference(known)
         for piece in list(need):
             if m := self.SIGNED.fullmatch(piece):
@@ -102,19 +102,18 @@ class PieceEncoder:
         white = [p for p in need if p.split() != [p]]
         need = list(need.difference(white))
         for piece, ids in (*zip(need, self._after_space(need)), *zip(white, self._encode([" " + p for p in white]))):
-            (known if len(piece) <= CACHED_CHARS else extra)[piece] = ids
+            known[piece] = ids
         signs = list({s for _, s in signed.values()}.difference(self.signs))
         self.signs.update(zip(signs, self._encode(signs)))
         for piece, (word, sign) in signed.items():
-            ids = (known[word] if word in known else extra[word]) + self.signs[sign]
-            (known if len(piece) <= CACHED_CHARS else extra)[piece] = ids
+            known[piece] = known[word] + self.signs[sign]
         if len(self.signs) > 10_000:
             self.signs.clear()
-        if extra:
-            get = lambda p: known[p] if p in known else extra[p]
-        else:
-            get = known.__getitem__
-        return [h + b"".join(map(get, t)) for h, t in zip(heads, tails)]
+        out = [h + b"".join(map(known.__getitem__, t)) for h, t in zip(heads, tails)]
+        for piece in (*need, *white, *signed):
+            if len(piece) > CACHED_CHARS:
+                del known[piece]
+        return out
 
 
 @lru_cache(1)
