@@ -11,7 +11,7 @@ judged each; a null language teaches nothing.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailmark.llm.common import table
+from trailmark.llm.common import table, written
 
 WHITE = " \t\n\x0b\x0c\r"
 BREAK = r"[\x20\x09-\x0D]+"
@@ -71,25 +71,25 @@ def base_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict]:
+def with_short_words(features: DataFrame) -> DataFrame:
+    """Adds the lower-cased words that can be common words of a language, in order."""
+    lower = F.transform("_words", lambda w: F.lower(w))
+    return features.withColumn("_short", F.filter(lower, lambda w: F.length(w) <= COMMON_LETTERS))
+
+
+def references_of(features: DataFrame, lang: str) -> dict[str, dict]:
     """For each language with at least LEAST_SHARE of the documents (MAX_LANGUAGES at most): class shares and the
     shares of its most common words. Counts cover all documents; what reaches the driver is bounded by the shares:
-    at most 1 / LEAST_SHARE words for a language."""
-    d = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    trimmed = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(WHITE))
-    words = F.filter(F.split(F.lower(trimmed), BREAK), lambda w: w != "")
-    d = d.withColumn("_r0", F.regexp_replace(F.coalesce("text", F.lit("")), BREAK, ""))
-    for i, pattern in enumerate(CLASS_PATTERNS):
-        d = d.withColumn(f"_r{i + 1}", F.regexp_replace(f"_r{i}", pattern, ""))
-    left = [F.char_length(f"_r{i}") for i in range(len(CLASS_PATTERNS) + 1)]
-    d = d.select("lang", words.alias("words"), *((left[i] - left[i + 1] if i + 1 < len(left) else left[i]).alias(c) for i, c in enumerate(CLASSES)))
-    sums = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
+    at most 1 / LEAST_SHARE words for a language. Takes rows with the class counts, n_words and the short words."""
+    d = features.where(F.col(lang).isNotNull())
+    d = d.select(F.col(lang).alias("lang"), F.col("n_words").alias("words"), F.col("_short").alias("short"), *(F.col(f"_c_{c}").alias(c) for c in CLASSES))
+    sums = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
     sums = sums.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     total = sum(r["n"] for r in sums)
     sums = [r for r in sums if r["n"] >= LEAST_SHARE * total and r["words"]]
     if not sums:
         return {}
-    short = d.where(F.col("lang").isin([r["lang"] for r in sums])).select("lang", F.explode(F.filter("words", lambda w: F.length(w) <= COMMON_LETTERS)).alias("w"))
+    short = d.where(F.col("lang").isin([r["lang"] for r in sums])).select("lang", F.explode("short").alias("w"))
     counts = short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     least = F.element_at(F.create_map(*(x for r in sums for x in (F.lit(r["lang"]), F.lit(LEAST_SHARE * r["words"])))), F.col("lang"))
     common = counts.where(F.col("n") >= least).collect()
@@ -101,6 +101,11 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     return out
 
 
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict]:
+    """References learned from all rows of docs."""
+    return references_of(with_short_words(base_features(docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text")), "_lang")
+
+
 def _term(p: Column, q: Column) -> Column:
     """One bin's part of twice the Jensen-Shannon divergence, in bits."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
@@ -129,7 +134,7 @@ def with_divergence(features: DataFrame, refs: dict[str, dict]) -> DataFrame:
     if not refs:
         return features.withColumn("divergence", F.lit(None).cast("double"))
     vocabulary = sorted({w for r in refs.values() for w in r["words"]})
-    d = features.withColumn("_hits", F.sort_array(F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))))
+    d = features.withColumn("_hits", F.sort_array(F.filter("_short", lambda w: w.isin(vocabulary))))
     d = d.withColumn("_uniq", F.array_distinct("_hits"))
     d = d.withColumn("_from", F.concat(F.transform("_uniq", lambda w: F.array_position("_hits", w)), F.array(F.size("_hits").cast("long") + 1)))  # runs of equal words
     counts = F.zip_with("_from", F.slice("_from", F.lit(2), F.size("_from")), lambda a, b: (b - a) / F.col("n_words"))
@@ -149,8 +154,11 @@ OUTPUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_divergence: float = MAX_DIVERGENCE) -> DataFrame:
-    """key, the base counts, base_failed, kept, divergence."""
-    d = with_divergence(base_features(docs.select(key, text), text), references(docs, text, lang))
+    """key, the base counts, base_failed, kept, divergence. The texts are read once: counts and short words are stored,
+    and the references and the distances come from there."""
+    d = with_short_words(base_features(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")), "_text"))
+    stored = written(d.select("_key", "_lang", "_short", *(f"_c_{c}" for c in CLASSES), *(c for c in OUTPUT if c not in ("kept", "divergence"))), "quality")
+    d = with_divergence(stored, references_of(stored, "_lang")).withColumnRenamed("_key", key)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("divergence"), F.lit(0.0)) <= max_divergence)
     return d.withColumn("kept", kept).select(key, *OUTPUT)
 
