@@ -199,6 +199,16 @@ def test_divergence_is_jensen_shannon(spark):
         assert abs(got[i]["divergence"] - want) < 1e-9
 
 
+def test_every_language_has_a_reference(spark):
+    """More languages than 16, and one with less than a thousandth of the rows."""
+    common = {i: [f"{a}{chr(97 + i)}" for a in "xyz"] for i in range(20)}
+    text = lambda i, j: " ".join(f"{common[i][k % 3]} {'абвгд'[(k + j) % 5] * 9 if i == 19 else 'word' * 3}" for k in range(40))
+    docs = [(i * 100 + j, text(i, j), f"l{i}") for i in range(19) for j in range(60)] + [(5000, text(19, 0), "l19")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert set(quality.references(docs)) == {f"l{i}" for i in range(20)}
+    assert quality.judge(docs).where("divergence IS NULL OR divergence > 0.05").count() == 0
+
+
 def test_mix_meets_targets(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         d = spark.read.parquet(f"{sf}/documents.parquet")

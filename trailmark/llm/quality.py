@@ -9,7 +9,9 @@ Null texts have no words and fail the base rule. Without any reference the base
 judged each; a null language teaches nothing.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trailmark.llm.common import table, written
 
@@ -20,12 +22,11 @@ SYMBOLS = "#*$%&|<>"
 SHORTEST = 20
 WINDOW = 8
 REPEAT_PERCENT = 30
-# The method's own values: words judged from, common words of a language, their most letters, references at most, the
-# share of a language's words and of all documents from which something counts, and the largest divergence that is kept.
+# The method's own values: words judged from, common words of a language, their most letters, the share of a language's
+# words from which a word counts, and the largest divergence that is kept.
 MIN_WORDS = 60
 COMMON = 24
 COMMON_LETTERS = 6
-MAX_LANGUAGES = 16
 LEAST_SHARE = 0.001
 MAX_DIVERGENCE = 0.3
 CLASSES = ("lower", "upper", "letter", "digit", "symbol", "other")
@@ -78,26 +79,21 @@ def with_short_words(features: DataFrame) -> DataFrame:
 
 
 def references_of(features: DataFrame, lang: str) -> dict[str, dict]:
-    """For each language with at least LEAST_SHARE of the documents (MAX_LANGUAGES at most): class shares and the
-    shares of its most common words. Counts cover all documents; what reaches the driver is bounded by the shares:
-    at most 1 / LEAST_SHARE words for a language. Takes rows with the class counts, n_words and the short words."""
+    """For each language that has words: class shares and the shares of its most common words. Counts cover all
+    documents; COMMON words at most of each language reach the driver. Takes rows with the class counts, n_words and
+    the short words."""
     d = features.where(F.col(lang).isNotNull())
     d = d.select(F.col(lang).alias("lang"), F.col("n_words").alias("words"), F.col("_short").alias("short"), *(F.col(f"_c_{c}").alias(c) for c in CLASSES))
-    sums = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
-    sums = sums.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    total = sum(r["n"] for r in sums)
-    sums = [r for r in sums if r["n"] >= LEAST_SHARE * total and r["words"]]
-    if not sums:
-        return {}
-    short = d.where(F.col("lang").isin([r["lang"] for r in sums])).select("lang", F.explode("short").alias("w"))
-    counts = short.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    least = F.element_at(F.create_map(*(x for r in sums for x in (F.lit(r["lang"]), F.lit(LEAST_SHARE * r["words"])))), F.col("lang"))
-    common = counts.where(F.col("n") >= least).collect()
+    sums = d.groupBy("lang").agg(F.sum("words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES)).where("words > 0")
+    counts = d.select("lang", F.explode("short").alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(F.broadcast(sums.select("lang", "words")), "lang").where(F.col("n") >= LEAST_SHARE * F.col("words"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))  # of at most 1 / LEAST_SHARE words
     out = {}
-    for r in sorted(sums, key=lambda r: r["lang"]):
-        top = sorted((x for x in common if x["lang"] == r["lang"]), key=lambda x: (-x["n"], x["w"]))[:COMMON]
+    for r in sorted(sums.collect(), key=lambda r: r["lang"]):
         chars = max(1, sum(r[c] for c in CLASSES))
-        out[r["lang"]] = {"classes": [r[c] / chars for c in CLASSES], "words": {x["w"]: x["n"] / r["words"] for x in top}}
+        out[r["lang"]] = {"classes": [r[c] / chars for c in CLASSES], "words": {}}
+    for x in counts.withColumn("place", place).where(F.col("place") <= COMMON).orderBy("lang", "place").collect():
+        out[x["lang"]]["words"][x["w"]] = x["n"] / x["words"]
     return out
 
 
@@ -112,21 +108,19 @@ def _term(p: Column, q: Column) -> Column:
     return part(p, q) + part(q, p)
 
 
-def _word_divergence(common: dict[str, float]) -> Column:
+def _word_divergence(shares: Column, common: Column, inside: Column) -> Column:
     """Divergence of a text's word shares from a language's: the words that occur one by one, then the bin of all
     others, then what the language has of words that do not occur."""
-    share = F.create_map(*(F.lit(x) for w, q in common.items() for x in (w, float(q))))
-    inside = float(sum(common.values()))
     zero = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def add(a: Column, e: Column) -> Column:
-        q = F.try_element_at(share, e["w"])
+        q = F.try_element_at(common, e["w"])
         return F.when(q.isNull(), a).otherwise(F.struct((a["js"] + _term(e["p"], q)).alias("js"), (a["p"] + e["p"]).alias("p"), (a["q"] + q).alias("q")))
 
     def end(a: Column) -> Column:
-        return (a["js"] + _term(F.greatest(F.lit(0.0), 1 - a["p"]), F.lit(1 - inside)) + F.greatest(F.lit(0.0), F.lit(inside) - a["q"])) / 2
+        return (a["js"] + _term(F.greatest(F.lit(0.0), 1 - a["p"]), 1 - inside) + F.greatest(F.lit(0.0), inside - a["q"])) / 2
 
-    return F.aggregate("_shares", zero, add, end)
+    return F.aggregate(shares, zero, add, end)
 
 
 def with_divergence(features: DataFrame, refs: dict[str, dict]) -> DataFrame:
@@ -140,13 +134,16 @@ def with_divergence(features: DataFrame, refs: dict[str, dict]) -> DataFrame:
     counts = F.zip_with("_from", F.slice("_from", F.lit(2), F.size("_from")), lambda a, b: (b - a) / F.col("n_words"))
     d = d.withColumn("_shares", F.zip_with("_uniq", F.slice(counts, F.lit(1), F.size("_uniq")), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
     chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    distances = []
-    for r in refs.values():
-        classes = sum((_term(F.col(f"_c_{c}") / chars, F.lit(float(q))) for c, q in zip(CLASSES, r["classes"])), F.lit(0.0)) / 2
-        words = _word_divergence(r["words"]) if r["words"] else F.lit(0.0)
-        root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
-        distances.append((root(classes) + root(words)) / 2)
-    nearest = F.least(*distances) if len(distances) > 1 else distances[0]
+    d = d.withColumn("_classes", F.array(*(F.col(f"_c_{c}") / chars for c in CLASSES)))
+    known = [{"classes": r["classes"], "words": r["words"], "inside": sum(r["words"].values())} for r in refs.values()]
+    known = F.from_json(F.lit(json.dumps(known)), "array<struct<classes:array<double>,words:map<string,double>,inside:double>>")  # one literal, whatever their number
+    root = lambda x: F.sqrt(F.greatest(F.lit(0.0), x))
+
+    def distance(r: Column) -> Column:
+        classes = sum((_term(F.col("_classes")[i], r["classes"][i]) for i in range(len(CLASSES))), F.lit(0.0)) / 2
+        return (root(classes) + root(_word_divergence(F.col("_shares"), r["words"], r["inside"]))) / 2
+
+    nearest = F.array_min(F.transform(known, distance))
     return d.withColumn("divergence", F.when(F.col("n_words") >= MIN_WORDS, nearest))
 
 
