@@ -267,6 +267,15 @@ def test_html(spark):
     assert got["text"] == "Head&line\nFirst bold words here.\nOpen one\nTwo" and got["n_chars"] == len(got["text"])
 
 
+def test_html_drops_no_more_than_the_element():
+    texts = lambda page: [b[0] for b in html.PageReader().blocks(page)]
+    for odd_ in ("<video-js class=x></video-js>", "<object-view>", "<svg class='i'/>", "<svg a='>'/>", "<math/>", "<video src=x>", "<IFRAME src='x'>", "<svg><path d='M0'/></svg>", "<script>a</script>",
+                 "<noscript>no</noscript>", "<object><object></object>", "<svg a=\"it's\">x</svg>", "<svg/><svg>x</svg>", "<template x=\">x</template>"):
+        assert texts(f"<p>One</p>{odd_}<p>Two</p>") == ["One", "Two"], odd_
+    assert texts("<p>One</p><scripted>Two</scripted><p>Three<script>x<p>Four") == ["One", "Two", "Three"]
+    assert texts("<p>a</p><style>x") == texts("<p>a</p><!-- x") == ["a"]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     x, w, b = rng.normal(size=(4, 3, html.WIDTH)), rng.normal(size=(html.WIDTH + html.HIDDEN, 4 * html.HIDDEN)) * 0.3, rng.normal(size=4 * html.HIDDEN)

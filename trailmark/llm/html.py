@@ -8,8 +8,9 @@ sequence of a page and labels every block as main text or not; main blocks are j
 The model is trained here, once in a process, on seeded pages that a generator writes in many layouts; it sees neither the
 input nor labels of it. Its size does not depend on the data.
 
-Null and empty pages, and pages without a main block, give an empty text. Unclosed tags end with their parent, unclosed comments
-and scripts with the page. Repeated pages are read each.
+Null and empty pages, and pages without a main block, give an empty text. Unclosed tags end with their parent, unclosed comments,
+scripts, styles and titles with the page; other elements that are no text (svg, video, ...) lose only their tag when they are
+not closed, and an svg or math tag that ends in `/>` is empty. Repeated pages are read each.
 """
 
 import html
@@ -26,6 +27,8 @@ from trailmark.llm.common import slices, table
 
 # Tags whose content is no text, tags inside a line, tags that close an open paragraph or sibling.
 DROPPED = "script style noscript template svg math title head iframe object canvas audio video".split()
+TO_THE_END = "script style title".split()
+EMPTY_BY_SLASH = "svg math".split()
 INLINE = "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr br acronym picture source input".split()
 VOID = "area base br col embed hr img input link meta source track wbr param".split()
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
@@ -43,12 +46,16 @@ class PageReader:
     """Cuts a page into blocks: (text, path tokens, characters inside links, innermost tag)."""
 
     def __init__(self):
-        raw = "|".join(t for t in DROPPED if t not in ("head", "title"))
+        raw = "|".join(TO_THE_END)
+        drop = "|".join(t for t in DROPPED if t != "head" and t not in TO_THE_END)
+        attrs = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
         self.tag = re.compile(
-            rf"<!--.*?(?:-->|\Z)|<(?P<raw>title|{raw})\b[^>]*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
-            r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+            rf"<!--.*?(?:-->|\Z)|<(?P<raw>{raw})(?=[\s/>])[^>]*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+            rf"|<(?P<drop>{drop})(?=[\s/>])(?:{attrs}>|[^>]*+>)"
+            rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{attrs})>"
             r"|</?[a-zA-Z][^>]*+>|<![^>]*+>|<\?[^>]*+>|<[/a-zA-Z!?][^<]*+\Z", re.S | re.I)
         self.attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+        self.close = {t: re.compile(rf"</{t}\s*+>", re.I) for t in drop.split("|")}
         self.inline, self.void = frozenset(INLINE), frozenset(VOID)
         self.closes = {k: frozenset(v.split()) for k, v in CLOSES.items()}
         self.keeps_p = frozenset(["html", "body"])
@@ -71,13 +78,23 @@ class PageReader:
                     out.append((text, [x for _, names in stack for x in names], links, stack[-1][0] if stack else ""))
                 buffer, links = [], 0
 
-        for m in self.tag.finditer(page):
+        never_closed = set()  # names without a closing tag in the rest of the page
+        while m := self.tag.search(page, at):
             a, z = m.span()
             if a > at:
                 buffer.append(page[at:a])
                 if in_link:
                     links += a - at
             at = z
+            if m["drop"]:
+                name = m["drop"].lower()
+                if name in never_closed or name in EMPTY_BY_SLASH and page[z - 2] == "/":
+                    continue
+                if shut := self.close[name].search(page, z):
+                    at = shut.end()
+                else:
+                    never_closed.add(name)
+                continue
             name = m["name"]
             if name is None:
                 continue
