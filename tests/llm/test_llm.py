@@ -267,6 +267,18 @@ def test_html(spark):
     assert got["text"] == "Head&line\nFirst bold words here.\nOpen one\nTwo" and got["n_chars"] == len(got["text"])
 
 
+@pytest.mark.parametrize("name", ["comments", "sidebar"])
+def test_html_reads_whole_paths_and_blocks(name):
+    open_ = "<div class='wp-block-group alignwide is-layout-constrained wp-block-group-is-layout-constrained has-global-padding'>"
+    deep = lambda x: open_ * 6 + x + "</div>" * 6
+    page = ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>" + deep("<h1>Path opens</h1><p>The town opened its new path along the river.</p><p>Many people came.</p>")
+            + f"</article><div class='{name}'>" + deep("<p>Nice read, thanks for posting it here.</p><p>I walked there with my dog.</p>") + "</div></body></html>")
+    blocks = html.labelled_blocks([page], html.train(), html.PageReader(), html.Encoder())[0]
+    assert [t for t, q in blocks if q >= html.KEEP_FROM] == ["Path opens", "The town opened its new path along the river.", "Many people came."]
+    size = [len(x) for x in html.Encoder().page([("word " * 5000, ["p"], 0, "p")])[1]]
+    assert size == [5000]
+
+
 def test_html_drops_no_more_than_the_element():
     texts = lambda page: [b[0] for b in html.PageReader().blocks(page)]
     for odd_ in ("<video-js class=x></video-js>", "<object-view>", "<svg class='i'/>", "<svg a='>'/>", "<math/>", "<video src=x>", "<IFRAME src='x'>", "<svg><path d='M0'/></svg>", "<script>a</script>",

@@ -2,7 +2,7 @@
 
 A page is cut into leaf blocks: the text between block-level tags, inline markup dropped, character references decoded, white
 space made one space. Scripts, styles and the head are no blocks. Each block gets the tags, classes, ids and roles on its
-path, its first words, both hashed into embedding tables, and a few numbers. A bidirectional LSTM in numpy reads the whole
+whole path (those that occur in training), all its words, both hashed into embedding tables, and a few numbers. A bidirectional LSTM in numpy reads the whole
 sequence of a page and labels every block as main text or not; main blocks are joined in page order.
 
 The model is trained here, once in a process, on seeded pages that a generator writes in many layouts; it sees neither the
@@ -17,7 +17,9 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,13 @@ VOID = "area base br col embed hr img input link meta source track wbr param".sp
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 
-PATH_ROWS, WORD_ROWS, FIRST_WORDS = 2048, 1024, 24
+PATH_ROWS, WORD_ROWS = 2048, 1024
 WIDTH, HIDDEN, NUMBERS = 20, 14, 8
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 1200, 6, 20, 11
 WORD_RATE, WORD_DECAY, WORDLESS = 0.15, 0.004, 0.4
 KEEP_FROM = 0.5
 KNOWN_WORDS = 200_000
+BAG_PART = 1 << 16
 
 
 class PageReader:
@@ -132,30 +135,22 @@ def _row(kind: str, token: str, rows: int) -> int:
 
 
 class Encoder:
-    """Blocks of a page as index lists and numbers."""
+    """Blocks of a page as index lists and numbers. Of a path, each token that training pages have counts once: others
+    were never learned, and the more of them there were, the less the learned ones would weigh."""
 
     def __init__(self):
-        self.paths: dict[str, int] = {}
+        self.paths = path_rows()
         self.words: dict[str, int] = {}
 
     def page(self, blocks):
         if len(self.words) > KNOWN_WORDS:
             self.words.clear()
-        if len(self.paths) > KNOWN_WORDS:
-            self.paths.clear()
         n = len(blocks)
         paths, words, numbers = [], [], np.zeros((n, NUMBERS))
         for i, (text, path, links, tag) in enumerate(blocks):
+            paths.append([self.paths[t] for t in dict.fromkeys(path) if t in self.paths])
             own = []
-            for t in path[-24:]:
-                k = self.paths.get(t)
-                if k is None:
-                    k = self.paths[t] = _row("path", t, PATH_ROWS)
-                own.append(k)
-            paths.append(own)
-            first = text[:400].lower().split()[:FIRST_WORDS]
-            own = []
-            for t in first:
+            for t in text.lower().split():
                 k = self.words.get(t)
                 if k is None:
                     k = self.words[t] = _row("word", t, WORD_ROWS)
@@ -167,15 +162,16 @@ class Encoder:
 
 
 def _bag(table_: np.ndarray, lists: list[list[int]]) -> np.ndarray:
-    """Mean of the table's rows of each list."""
+    """Sum of the table's rows of each list over the root of its length; BAG_PART rows are held at a time."""
     out = np.zeros((len(lists), table_.shape[1]), table_.dtype)
-    size = np.array([len(x) for x in lists])
-    flat = np.fromiter((k for x in lists for k in x), np.int64, int(size.sum()))
-    if len(flat):
-        owner = np.repeat(np.arange(len(lists)), size)
-        np.add.at(out, owner, table_[flat])
-        out /= np.sqrt(np.maximum(size, 1))[:, None]
-    return out
+    size = np.array([len(x) for x in lists], np.int64)
+    rows = chain.from_iterable(lists)
+    owner = np.repeat(np.arange(len(lists)), size)
+    for at in range(0, len(owner), BAG_PART):
+        own = owner[at : at + BAG_PART]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[start]] += np.add.reduceat(table_[np.fromiter(islice(rows, len(own)), np.int64, len(own))], start, axis=0)  # each owner once
+    return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 def _sigmoid(x):
@@ -327,6 +323,15 @@ def generated_page(rnd: random.Random) -> tuple[str, list[str]]:
     return "<html><head><title>" + prose(1, 6) + "</title></head><body>" + wrap.format("".join(before + parts + after)) + "</body></html>", main
 
 
+@lru_cache(maxsize=1)
+def path_rows() -> dict[str, int]:
+    """The path tokens of generated pages and their rows."""
+    rnd, reader, pages = random.Random(SEED), PageReader(), Counter()
+    for _ in range(TRAIN_PAGES // 4):
+        pages.update({t for _, path, _, _ in reader.blocks(generated_page(rnd)[0]) for t in path})
+    return {t: _row("path", t, PATH_ROWS) for t, n in sorted(pages.items()) if n > 2}
+
+
 def training_pages(count: int, seed: int):
     """(encoded page, block labels): a block is main if it is the next main block of its page."""
     rnd, reader, encoder, out = random.Random(seed), PageReader(), Encoder(), []
