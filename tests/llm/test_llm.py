@@ -239,6 +239,15 @@ def test_grammar():
     assert x("gloomy day")["insult"] == 0 and x("gloomy glooms")["insult"] == 4 and x("not. idiot")["negated"] == 0
 
 
+def test_every_word_of_a_text_is_read():
+    scorer = toxicity.Scorer({"=idiot": (3.0, 1), "=馬鹿野郎": (3.0, 1)})
+    x = lambda t: dict(zip(scorer.TAPES, np.expm1(scorer.features(t)[:5]).round(6)))
+    for t in ("l'idiot", "hello,idiot", "he—idiot", "and/idiot", "'idiot'", "(an idiot)", "今日は、馬鹿野郎。天気"):
+        assert x(t)["insult"] == 3, t
+    assert x("you—idiot")["targeted"] == 3 and x("you,idiot")["targeted"] == 0 and x("not ,idiot")["negated"] == 0 and x("you ' idiot")["targeted"] == 3
+    assert scorer.features("idiot, idiot")[-1] == scorer.features("idiot idiot")[-1]
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.01"
     lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")

@@ -1,6 +1,6 @@
 """Toxicity by a weighted finite-state grammar over clauses (operator 6).
 
-Words become symbols: insult, threat, target, negation, reporting, other. Five transducers read the symbols of a clause side by
+Words, all runs of letters and digits, become symbols: insult, threat, target, negation, reporting, other. Five transducers read the symbols of a clause side by
 side (their composition is compiled into one table): an insult adds its weight; a target marks the clause; a threat needs a
 target within reach; a negation and a reporting word open a scope in which insults count on other tapes. A document's
 score is a logistic function of what its clauses gave.
@@ -41,6 +41,8 @@ THREAT_REACH = 4
 KNOWN_WORDS = 400_000
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 BOUNDARY = ".,;:!?"
+RUN = re.compile(r"\w+")
+RUN_OR_BOUNDARY = re.compile(rf"\w+|[{BOUNDARY}]+")
 
 
 class Transducer:
@@ -82,11 +84,6 @@ def compose(parts: list[Transducer], symbols: int = 6) -> list[list[tuple[int, t
     return out
 
 
-def core_of(word: str) -> str:
-    m = re.search(r"\w+", word)
-    return m[0] if m else ""
-
-
 def terms_of(core: str) -> list[str]:
     return ["=" + core, *("^" + core[:n] for n in PREFIXES if len(core) >= n)] if len(core) > 2 else []
 
@@ -100,15 +97,14 @@ class Scorer:
         self.lexicon, self.table, self.known = lexicon, compose(grammar()), {}
         self.fixed = {w: s for s, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 
-    def entry(self, word: str) -> tuple[int, bool, str, float, int]:
-        """symbol, whether a clause ends after it, its strongest term, weight, least occurrences."""
-        core = core_of(word)
+    def entry(self, core: str) -> tuple[int, bool, str, float, int]:
+        """symbol of a word or boundary, whether a clause ends with it, its strongest term, weight, least occurrences."""
         best = max(((self.lexicon[t][0], t) for t in terms_of(core) if t in self.lexicon), default=None)
         symbol = INSULT if best else self.fixed.get(core, OTHER)
-        return symbol, any(c in word for c in BOUNDARY), best[1] if best else "", best[0] if best else 0.0, self.lexicon[best[1]][1] if best else 0
+        return symbol, core[0] in BOUNDARY, best[1] if best else "", best[0] if best else 0.0, self.lexicon[best[1]][1] if best else 0
 
     def features(self, text: str) -> list[float]:
-        words = text.lower().split()
+        words = RUN_OR_BOUNDARY.findall(text.lower())
         known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
@@ -145,7 +141,7 @@ class Scorer:
                         break
                     j += 1
                 done = j
-        per = 100.0 * n / max(1, len(words))
+        per = 100.0 * n / max(1, sum(not e[1] for e in entries)) if n else 0.0
         return [*(float(np.log1p(sums[t])) for t in self.TAPES), float(np.log1p(n)), float(np.log1p(per)), top, float(np.log1p(len(kinds)))]
 
 
@@ -159,8 +155,8 @@ def _term_counts(only, text: str):
         for part in slices(batches, text):
             for t in texts_of(part, text):
                 own: dict[str, int] = {}
-                for w in t.lower().split():
-                    for x in terms_of(core_of(w)):
+                for w in RUN.findall(t.lower()):
+                    for x in terms_of(w):
                         if wanted is None or x in wanted:
                             own[x] = own.get(x, 0) + 1
                 for x, n in own.items():
