@@ -266,6 +266,15 @@ def test_urls(spark, odd):
     assert {r[0] for r in rules} == {("c",), ("a", "b")}
 
 
+def test_rare_bad_hosts_are_blocked_in_large_tables(spark):
+    d = spark.range(30_000).selectExpr("array('host=good', concat('p=', id % 900)) tokens", "false bad").unionByName(spark.range(12).selectExpr("array('host=rare', 'p=1') tokens", "true bad"))
+    assert ("host=rare",) in {r[0] for r in urls.mine_rules(d)}
+    urls_ = [(i, f"http://{h}/x{i}") for i, h in enumerate(["best-casino.example.com", "my-casino.example.net", "casino.com"])]
+    host, path = urls.split_url("url")
+    d = spark.createDataFrame(urls_, "id int, url string").withColumn("host", host).withColumn("path", path).select(urls.tokens("url", "host", "path").alias("t"))
+    assert all("part=casino" in r["t"] for r in d.collect())
+
+
 def test_html(spark):
     model, test = html.train(), html.training_pages(150, 77)
     right = [((html.probabilities([e], model)[0] >= 0.5) == y).all() for e, y in test]

@@ -1,6 +1,6 @@
 """URL filtering by association rules (operator 4).
 
-A URL becomes tokens: labels of its host, the host without a leading www, m or blog, path words, file ending, query keys. Labelled
+A URL becomes tokens: labels of its host and their hyphenated words, the host without a leading www, m or blog, path words, file ending, query keys. Labelled
 URLs go, with a token for their label, through Spark's distributed FP-growth. Rules from tokens to the bad label are kept by
 support, confidence and lift; a rule goes if a shorter one that it contains is as sure, and MAX_RULES of the surest remain.
 They are matched through an inverted index from token to rules: a rule fires when all its tokens are met.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trailmark.llm.common import table
 
 LEAST_COUNT = 10
-LEAST_SUPPORT = 0.0005
+ROWS_PER_PARTITION = 20_000
 LEAST_CONFIDENCE = 0.9
 LEAST_LIFT = 1.5
 MAX_RULES = 2000
@@ -58,7 +58,7 @@ def tokens(url: str, host: str, path: str) -> Column:
     ending = F.array(F.regexp_extract(F.lower(F.col(path)), r"\.([a-z0-9]+)\z", 1))
     query = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"\A[^=]*", 0))
-    return F.array_distinct(F.concat(tag("host", F.array(bare)), tag("part", F.split(F.col(host), r"\.")), tag("path", words), tag("end", ending), tag("key", keys)))
+    return F.array_distinct(F.concat(tag("host", F.array(bare)), tag("part", F.concat(F.split(F.col(host), r"\."), F.split(F.col(host), r"[.\-]"))), tag("path", words), tag("end", ending), tag("key", keys)))
 
 
 def mine_rules(labelled: DataFrame, least_count: int = LEAST_COUNT, confidence: float = LEAST_CONFIDENCE, max_rules: int = MAX_RULES) -> list[tuple[tuple[str, ...], float, float]]:
@@ -67,8 +67,9 @@ def mine_rules(labelled: DataFrame, least_count: int = LEAST_COUNT, confidence:
     if not n or not bad:
         return []
     rows = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, max(least_count / n, LEAST_SUPPORT))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows).associationRules
+    support = min(1.0, (least_count - 0.5) / n)
+    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")) + n // ROWS_PER_PARTITION
+    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=parts).fit(rows).associationRules
     found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= LEAST_LIFT))
     found = found.select(F.array_sort("antecedent").alias("a"), "confidence", "support").orderBy(F.desc("confidence"), F.size("a"), F.desc("support"), "a").limit(max_rules).collect()
     out, sure = [], {}
