@@ -275,6 +275,13 @@ def test_rare_bad_hosts_are_blocked_in_large_tables(spark):
     assert all("part=casino" in r["t"] for r in d.collect())
 
 
+def test_rules_below_certainty_are_kept_beside_many_sure_ones(spark):
+    sure = [f"t{i:02}" for i in range(12)]
+    rows_ = [(sure, True)] * 12 + [(["x", "y"], True)] * 19 + [(["x"], False), (["y"], False)] + [(["z"], False)] * 100 + [(["y"], False)] * 19
+    rules = urls.mine_rules(spark.createDataFrame(rows_, "tokens array<string>, bad boolean"))
+    assert {(r[0], round(r[1], 2)) for r in rules} == {((t,), 1.0) for t in sure} | {(("x",), 0.95), (("x", "y"), 1.0)}
+
+
 def test_html(spark):
     model, test = html.train(), html.training_pages(150, 77)
     right = [((html.probabilities([e], model)[0] >= 0.5) == y).all() for e, y in test]

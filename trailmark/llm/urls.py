@@ -2,8 +2,9 @@
 
 A URL becomes tokens: labels of its host and their hyphenated words, the host without a leading www, m or blog, path words, file ending, query keys. Labelled
 URLs go, with a token for their label, through Spark's distributed FP-growth. Rules from tokens to the bad label are kept by
-support, confidence and lift; a rule goes if a shorter one that it contains is as sure, and MAX_RULES of the surest remain.
-They are matched through an inverted index from token to rules: a rule fires when all its tokens are met.
+count, confidence and lift; a rule goes if a shorter one that it contains is as sure, and all others remain. Two kinds of
+tokens can be left out of the growth, since no rule that remains has them beside others: those that are sure alone, and
+those with too few bad URLs. Rules are matched through an inverted index from token to rules: a rule fires when all its tokens are met.
 
 Given rules (allow or block a host with its subdomains and a path beginning) come first; the longest fitting one decides,
 block at equal length. Other URLs are blocked if a mined rule fires, else allowed.
@@ -16,13 +17,12 @@ import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailmark.llm.common import table
+from trailmark.llm.common import table, written
 
 LEAST_COUNT = 10
 ROWS_PER_PARTITION = 20_000
 LEAST_CONFIDENCE = 0.9
 LEAST_LIFT = 1.5
-MAX_RULES = 2000
 BAD = "label=bad"
 # The rules that the query is given, as verdict and rule.
 GIVEN = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -61,33 +61,69 @@ def tokens(url: str, host: str, path: str) -> Column:
     return F.array_distinct(F.concat(tag("host", F.array(bare)), tag("part", F.concat(F.split(F.col(host), r"\."), F.split(F.col(host), r"[.\-]"))), tag("path", words), tag("end", ending), tag("key", keys)))
 
 
-def mine_rules(labelled: DataFrame, least_count: int = LEAST_COUNT, confidence: float = LEAST_CONFIDENCE, max_rules: int = MAX_RULES) -> list[tuple[tuple[str, ...], float, float]]:
-    """labelled: tokens array<string>, bad boolean. (tokens, confidence, support) of the rules, surest first."""
+def _of_tokens(wanted, column: str):
+    """Leaves only the wanted tokens."""
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            left = [[t for t in toks or () if t in wanted.value] for toks in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(left, b.schema.field(at).type))
+
+    return run
+
+
+def _not_implied(kept):
+    """Leaves out the rules that contain a kept one as sure."""
+    def run(batches):
+        index: dict[str, list[int]] = {}
+        for i, (a, _, _) in enumerate(kept.value):
+            index.setdefault(a[0], []).append(i)  # all tokens must be met, so the first one must
+        sets = [frozenset(a) for a, _, _ in kept.value]
+        for b in batches:
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield b.filter(pa.array([not any(kept.value[i][1] >= c and sets[i] <= set(a) for t in a for i in index.get(t, ())) for a, c in rows], pa.bool_()))
+
+    return run
+
+
+def mine_rules(labelled: DataFrame, least_count: int = LEAST_COUNT, confidence: float = LEAST_CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
+    """labelled: tokens array<string>, bad boolean. (tokens, confidence, support) of the rules, surest first: all with
+    least_count bad URLs that contain no shorter one as sure."""
+    labelled = written(labelled.select("tokens", "bad"), "url-tokens")
+    sc = labelled.sparkSession.sparkContext
     n, bad = labelled.agg(F.count(F.lit(1)), F.sum(F.col("bad").cast("int"))).first()
-    if not n or not bad:
+    if not bad or n / bad < LEAST_LIFT:
         return []
-    rows = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    support = min(1.0, (least_count - 0.5) / n)
-    parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")) + n // ROWS_PER_PARTITION
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=parts).fit(rows).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.col("lift") >= LEAST_LIFT))
-    found = found.select(F.array_sort("antecedent").alias("a"), "confidence", "support").orderBy(F.desc("confidence"), F.size("a"), F.desc("support"), "a").limit(max_rules).collect()
-    out, sure = [], {}
-    for r in sorted(found, key=lambda r: (len(r["a"]), r["a"])):
-        a = frozenset(r["a"])
-        if not any(s < a and c >= r["confidence"] for s, c in sure.items()):
-            sure[a] = r["confidence"]
-            out.append((tuple(r["a"]), r["confidence"], r["support"]))
+    alone = labelled.select("bad", F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("hits"))
+    alone = alone.where(F.col("hits") >= least_count).collect()  # at most the bad URLs' tokens over least_count
+    out = [((r["t"],), 1.0, r["hits"] / n) for r in alone if r["hits"] == r["n"]]
+    wanted = sc.broadcast({r["t"] for r in alone if r["hits"] < r["n"]})
+    if wanted.value:
+        rows = labelled.mapInArrow(_of_tokens(wanted, "tokens"), labelled.schema)
+        rows = rows.select(F.array_distinct(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))).alias("items"))
+        parts = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")) + n // ROWS_PER_PARTITION
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least_count - 0.5) / n), numPartitions=parts).fit(rows).freqItemsets
+        sets = sets.select(F.array_sort(F.array_remove("items", BAD)).alias("a"), F.array_contains("items", BAD).alias("b"), "freq").where(F.size("a") > 0)
+        found = sets.groupBy("a").agg(F.sum(F.when(F.col("b"), F.col("freq"))).alias("hits"), F.sum(F.when(~F.col("b"), F.col("freq"))).alias("n")).where("hits IS NOT NULL")
+        found = found.select("a", (F.col("hits") / F.col("n")).alias("confidence"), (F.col("hits") / n).alias("support"))
+        found = written(found.where((F.col("confidence") >= confidence) & (F.col("confidence") * n / bad >= LEAST_LIFT)), "url-rules")
+        kept = []
+        for (size,) in sorted(found.select(F.size("a")).distinct().collect()):
+            new = found.where(F.size("a") == size)
+            new = new.mapInArrow(_not_implied(sc.broadcast(kept)), found.schema) if kept else new
+            kept = kept + [(tuple(r["a"]), r["confidence"], r["support"]) for r in new.collect()]
+        out += kept
     return sorted(out, key=lambda r: (-r[1], len(r[0]), r[0]))
 
 
 def _match(rules, column: str):
-    """Adds the number of the surest rule that fires, or null."""
+    """Adds the tokens, joined, of the surest rule that fires, or null."""
     def run(batches):
         index: dict[str, list[int]] = {}
         for i, (a, _, _) in enumerate(rules.value):
             for t in a:
                 index.setdefault(t, []).append(i)
+        names = ["+".join(a) for a, _, _ in rules.value]
         need = [len(a) for a, _, _ in rules.value]
         for b in batches:
             fired = []
@@ -96,9 +132,10 @@ def _match(rules, column: str):
                 for t in toks or ():
                     for i in index.get(t, ()):
                         met[i] = met.get(i, 0) + 1
-                fired.append(min((i for i, k in met.items() if k == need[i]), default=None))
+                first = min((i for i, k in met.items() if k == need[i]), default=None)
+                fired.append(None if first is None else names[first])
             keep = [i for i, n in enumerate(b.schema.names) if n != column]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(fired, pa.int32())], [*(b.schema.names[i] for i in keep), "mined_rule"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(fired, pa.string())], [*(b.schema.names[i] for i in keep), "mined_rule"])
 
     return run
 
@@ -109,12 +146,10 @@ def judge_urls(urls: DataFrame, rules: list, key: str = "page_id", url: str = "u
     d = urls.select(key, url).withColumn("host", host).withColumn("path", path)
     kind = dict(urls.dtypes)[key]
     d = d.select(key, "host", "path", given_rule(F.col("host"), F.col("path"), given).alias("g"), tokens(url, "host", "path").alias("tokens"))
-    shared = urls.sparkSession.sparkContext.broadcast(rules)  # at most MAX_RULES
-    d = d.select(key, "host", "path", "g.rule", "g.verdict", "tokens").mapInArrow(_match(shared, "tokens"), f"`{key}` {kind}, host string, path string, rule string, verdict string, mined_rule int")
-    name = F.element_at(F.array(*(F.lit("+".join(r[0])) for r in rules)), F.col("mined_rule") + 1) if rules else F.lit(None).cast("string")
-    named = F.when(F.col("mined_rule").isNotNull(), name)
+    shared = urls.sparkSession.sparkContext.broadcast(rules)  # their number is bounded by LEAST_COUNT
+    d = d.select(key, "host", "path", "g.rule", "g.verdict", "tokens").mapInArrow(_match(shared, "tokens"), f"`{key}` {kind}, host string, path string, rule string, verdict string, mined_rule string")
     verdict = F.coalesce("verdict", F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
-    return d.select(key, "host", "path", "rule", verdict.alias("verdict"), named.alias("mined_rule"))
+    return d.select(key, "host", "path", "rule", verdict.alias("verdict"), "mined_rule")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
