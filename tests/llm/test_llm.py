@@ -230,6 +230,23 @@ def test_language(spark, odd):
     assert [got[i]["lang_pred"] for i in (0, 1, 2)] == ["und"] * 3 and got[3]["lang_pred"] in ("en", "de")
 
 
+def test_every_language_is_learned(spark):
+    """More languages than a block has, the last of them the rarest."""
+    rnd = random.Random(3)
+    docs = []
+    for i in range(300):
+        letters = [chr(0x4E00 + 20 * i + k) for k in range(12)]
+        docs += [(len(docs), " ".join("".join(rnd.choices(letters, k=5)) for _ in range(12)), f"l{i:03}") for _ in range(2 if i < 299 else 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    blocks = language.train(d)
+    assert sum(len(b[0]) for b in blocks) == 300 and [len(b[0]) for b in blocks] == [256, 44]
+    want = {k: x for k, _, x in docs}
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(d, blocks).collect()} == want
+    few = d.where("doc_id < 24")
+    one, many = ({r["doc_id"]: tuple(r)[1:] for r in language.identify(few, language.train(few, block=n)).collect()} for n in (256, 5))
+    assert all(one[k][0] == many[k][0] and abs(one[k][1] - many[k][1]) < 1e-3 for k in one)
+
+
 def test_grammar():
     table = toxicity.compose(toxicity.grammar())
     scorer = toxicity.Scorer({"=idiot": (3.0, 1), "^gloom": (2.0, 2)})
