@@ -39,7 +39,17 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.options(**options).option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing will read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release() -> None:

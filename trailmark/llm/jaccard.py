@@ -1,13 +1,19 @@
 """Exact n-gram Jaccard join by PartEnum signatures (operator 9).
 
-A document's set holds its distinct word shingles as 64-bit hashes; equal sets are one node. Sizes fall into bands; a set
-belongs to the instance of its own band and, if it can be similar to a larger set, to that of the next. Sets of an instance
-with sizes up to u and a similarity of p percent or more differ in at most k = (100-p)/(100+p) * 2u elements.
+A document's set holds its distinct word shingles as 64-bit hashes; equal sets are one node. Sizes fall into bands; the
+instance of a band finds the pairs whose smaller set lies in it, so a set belongs to that of its own band and, unless it is too
+large, to that of the one below. Similar sets of an instance with sizes up to h below and a similarity of p percent or more
+differ in at most k = h * (100 - p) / p elements.
 
 An instance deals the feature domain by hash into n1 partitions of PARTS parts each. At most k / (DIFFER + 1) partitions hold
 more than DIFFER differences; every other one has PARTS - DIFFER parts without any. The signatures are the contents of
-all such subsets of parts, so similar sets share one. n1 has SLACK partitions to spare: a set leaves out partitions with an
-empty subset (which it would share with strangers) as long as there are no more of them than spare ones.
+all such subsets of parts, so similar sets share one. n1 has `spare` partitions more than that takes, and a set leaves out up to
+2/3 of so many that it would share with strangers: first those with an empty subset, in the order of partitions, then the
+hottest, those with a subset whose signature HOT nodes or more share, by classes of powers of two. (Passages that many
+documents share make such signatures, and the pairs in their buckets grow with the square. Copies share far more than a set may
+leave out and keep the rest.) What is left out depends on contents and a limit in an order that is the same for all sets: of
+the partitions without differences two sets leave out at most the more generous one's, and of those with one, which add
+half a partition each to what they have in common, each its own; so 2/3 and half of 2/3 are lost, and one stays.
 
 Spark groups signatures; of buckets with the same members one is kept. Nodes carry 1,024-bit parity sketches, whose differing
 bits never exceed the sets' difference, and fine ones of as many bits as the set has elements; a pair is verified on whole
@@ -27,21 +33,27 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from trailmark.llm.common import mix64, slices, table, texts_of, written
+from trailmark.llm.common import forget, mix64, slices, table, texts_of, written
 
 WORDS = 4
 PERCENT = 85
 PARTS = 3
 DIFFER = 1
-SLACK = 0.06
+SLACK, LEAST_SPARE = 0.075, 3
+LEAST_SHARE = 3  # elements of a set for each that may differ, in bands that are no wider than two steps of similarity
 SKETCH_BITS = 1024
 BLOCK = 256
 BLOOM_BITS = 1 << 24
 KNOWN_WORDS = 500_000
 SEEN_NODES = 200_000
 LOWEST = 3
+HOT = 8
+#: Bits of a signature: kind (2), parity of the band (1), partition, hash of the contents. The kinds are signatures of up to
+#: SMALL and up to LARGE partitions, marks (how many hot partitions a node may leave out), and ones that are never left out.
+SMALL, LARGE = 1 << 10, 1 << 24
+KIND_SMALL, KIND_LARGE, KIND_MARK, KIND_KEPT = range(4)
 FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
 
@@ -114,25 +126,26 @@ def fine_gap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def bands(percent: int, size: int) -> list[tuple[int, int]]:
-    """Bands of sizes up to the one after `size`: each reaches over two steps of similarity."""
+    """Bands of sizes, the last one with `size`. They are one to two steps of similarity wide."""
+    p = percent / 100
+    wide = min(p**-2, max(1 / p, p / (LEAST_SHARE * (1 - p)))) if p < 1 else 2
     out, low = [], 1
     while True:
-        high = max(low, low * 10_000 // percent**2)
+        high = max(low, int(low * wide))
         out.append((low, high))
-        if len(out) > 1 and out[-2][1] >= size:
+        if high >= size:
             return out
         low = high + 1
 
 
 def instances(percent: int, size: int, known: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(band, k, n1, spare) of the instances that a set of this size belongs to; none where k is 0."""
+    """(band, k, n1, spare) of the instances that a set of this size belongs to: one or two neighbours; none where k is 0."""
     i = next(i for i, (_, high) in enumerate(known) if size <= high)
     out = []
-    for b in (i, i + 1):
-        low, high = known[b]
-        k = 2 * high * (100 - percent) // (100 + percent)
-        if k and (b == i or size * 100 >= percent * low):
-            spare = max(2, math.ceil(SLACK * k))
+    for b in (i, i - 1):
+        k = known[b][1] * (100 - percent) // percent if b >= 0 else 0
+        if k and (b == i or known[b][1] * 100 >= percent * size):
+            spare = max(LEAST_SPARE, math.ceil(SLACK * k))
             out.append((b, k, k // (DIFFER + 1) + 1 + spare, spare))
     return out
 
@@ -140,6 +153,14 @@ def instances(percent: int, size: int, known: list[tuple[int, int]]) -> list[tup
 SUBSETS = list(combinations(range(PARTS), PARTS - DIFFER))
 
 
+def _bits(kind: int, band: int, number, digest):
+    """A signature (or mark) with its partition (or count) and as many bits of the digest as remain."""
+    low = 51 if kind == KIND_SMALL else 61 if kind == KIND_KEPT else 37
+    head = np.uint64(kind << 62 | (band & 1) << 61)
+    place = np.asarray(number, np.uint64) << np.uint64(low) if low < 61 else np.uint64(0)
+    return head | place | (np.asarray(digest, np.uint64) >> np.uint64(64 - low))
+
+
 def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]]) -> np.ndarray:
     out = []
     for band, _, n1, spare in instances(percent, len(s), known):
@@ -149,14 +170,19 @@ def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]]) -> np.
         content = content.reshape(n1, PARTS)
         filled = np.bincount(cell, minlength=n1 * PARTS).reshape(n1, PARTS) > 0
         has = np.stack([filled[:, list(c)].any(1) for c in SUBSETS], 1)
-        use = has.all(1)
-        if n1 - use.sum() > spare:
-            use[:] = True  # too many to leave out
+        most = 2 * spare // 3
+        empty = np.flatnonzero(~has.all(1))[:most]
+        use = np.ones(n1, bool)
+        use[empty] = False
+        kind = KIND_SMALL if n1 <= SMALL else KIND_LARGE if n1 <= LARGE else KIND_KEPT
+        at = np.flatnonzero(use).astype(np.uint64)
         for j, subset in enumerate(SUBSETS):
-            sig = np.arange(n1, dtype=np.uint64) * np.uint64(len(SUBSETS)) + np.uint64(j + (band << 40))
+            sig = at * np.uint64(len(SUBSETS)) + np.uint64(j + (band << 40))
             for c in subset:
-                sig = mix64(sig ^ content[:, c], c)
-            out.append(sig[use])
+                sig = mix64(sig ^ content[use, c], c)
+            out.append(_bits(kind, band, at, sig))
+        if len(empty) < most:
+            out.append(_bits(KIND_MARK, band, [min(most - len(empty), LARGE - 1)], np.array([node_of(s)]).view(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -182,7 +208,7 @@ def _signatures(words: int, percent: int, text: str):
                     continue
                 if len(seen) < SEEN_NODES:
                     seen.add(x)
-                if known[-2][1] < len(s):
+                if known[-1][1] < len(s):
                     known = bands(percent, len(s))
                 sig.append(signatures(s, percent, known))
                 node.append(np.full(len(sig[-1]), x, np.int64))
@@ -363,28 +389,58 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _kind(sig: str = "sig") -> Column:
+    return F.shiftrightunsigned(sig, 62)
+
+
+def _without_hottest(hot: DataFrame, marks: DataFrame) -> DataFrame:
+    """sig, node of the hot buckets' members without the partitions that the nodes leave out."""
+    parity = F.shiftrightunsigned("sig", 61).bitwiseAND(F.lit(1)).alias("parity")
+    slot = F.when(_kind() == KIND_SMALL, F.shiftrightunsigned("sig", 51)).otherwise(F.shiftrightunsigned("sig", 37)).alias("slot")
+    rows = hot.select("sig", "node", F.floor(F.log2("m")).cast("int").alias("heat"), parity, slot)
+    heats = rows.where(_kind() != KIND_KEPT).groupBy("node", "parity", "slot").agg(F.max("heat").alias("heat"))
+    heats = heats.groupBy("node", "parity").agg(F.sort_array(F.collect_list("heat"), asc=False).alias("heats"))  # at most a node's partitions
+    may = marks.select("node", parity, F.shiftrightunsigned("sig", 37).bitwiseAND(F.lit(LARGE - 1)).cast("int").alias("may"))
+    # Classes above the hottest partition that must stay are left out.
+    first = heats.join(may, ["node", "parity"]).select("node", "parity", F.coalesce(F.expr("try_element_at(heats, may + 1)"), F.lit(0)).alias("kept"))
+    rows = rows.join(first, ["node", "parity"], "left")
+    return rows.where(F.col("kept").isNull() | (F.col("heat") <= F.col("kept")) | (_kind() == KIND_KEPT)).select("sig", "node")
+
+
 def _distinct_buckets(sigs: DataFrame) -> DataFrame:
     """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
     are dealt out once; near copies share many, so that few buckets are left of them."""
     bucket = Window.partitionBy("sig")
-    once = sigs.repartition("sig").dropDuplicates(["sig", "node"])
-    members = (once.withColumn("leader", F.min("node").over(bucket)).withColumn("m", F.count(F.lit(1)).over(bucket))
-               .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(bucket)).where("m > 1"))
-    members = written(members, "members")
-    first = members.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
-    return written(members.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
+
+    def grouped(once: DataFrame) -> DataFrame:
+        return (once.withColumn("leader", F.min("node").over(bucket)).withColumn("m", F.count(F.lit(1)).over(bucket))
+                .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(bucket)))
+
+    members = grouped(sigs.repartition("sig").dropDuplicates(["sig", "node"]))
+    members = written(members.where((F.col("m") > 1) | (_kind() == KIND_MARK)), "members")
+    _let_go(sigs.sparkSession)
+    real, marks = members.where(_kind() != KIND_MARK), members.where(_kind() == KIND_MARK)
+    cooled = written(grouped(_without_hottest(real.where(F.col("m") >= HOT), marks)).where("m > 1"), "members")
+    members_left = real.where(F.col("m") < HOT).unionByName(cooled)
+    first = members_left.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
+    buckets = written(members_left.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
+    forget(members, cooled)
+    return buckets
 
 
 def _open_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks."""
+    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks. The members
+    of a bucket's largest component make blocks of their own, which aren't paired with each other."""
     bucket = Window.partitionBy("sig")
     of = buckets.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = of.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo <> hi")
-    open_ = open_.withColumn("m", F.count(F.lit(1)).over(bucket)).select("sig", "node", "label", "m")
-    rank = F.row_number().over(bucket.orderBy("node"))
-    open_ = open_.withColumn("block", F.floor((rank - 1) / BLOCK).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / BLOCK).cast("int")))
-    open_ = open_.join(sketches, "node").withColumn("other", other)
+    size = of.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
+    size = size.groupBy("sig").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    open_ = of.join(size, "sig").select("sig", "node", "label", (F.col("label") == F.col("main.label")).alias("in_main"), F.col("main.k").alias("k"), (F.col("m") - F.col("main.k")).alias("others"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    rank = F.row_number().over(Window.partitionBy("sig", "in_main").orderBy("node"))
+    own = F.floor((rank - 1) / BLOCK).cast("int") + F.when(F.col("in_main"), blocks("others")).otherwise(0)
+    last = F.when(F.col("in_main"), blocks("others")).otherwise(blocks("others") + blocks("k")) - 1
+    open_ = open_.withColumn("block", own).withColumn("last", last).join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
@@ -417,7 +473,7 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
     best = near(stars).groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     alike = sets.select(F.col("node").alias("b"), F.posexplode("lowest").alias("i", "low"))  # similar sets often share a lowest hash
-    alike = alike.withColumn("a", F.min("b").over(Window.partitionBy("i", "low"))).where("a <> b").select("a", "b").distinct()
+    alike = alike.join(alike.groupBy("i", "low").agg(F.min("b").alias("a")), ["i", "low"]).where("a <> b").select("a", "b").distinct()
     likely = written(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
     tested = written(_possible(likely, sets, percent), "pairs")
     links = written(_verified(tested, sets, percent), "links")
