@@ -114,10 +114,41 @@ def test_token_file_format(spark, tmp_path, encoding):
 
 
 def test_cuts_never_change_ids():
+    import pyarrow as pa
+
     e = tokens.PieceEncoder(tokens.tokenizer_path(), cached=3)
     texts = ["", " ", " a", "a ", "a  b", "a \n b", "a\n\nb c", "\u3000a b\u00a0 c", "it's 'll  x", "a <|endoftext|> b", "日本 語 12 3", "\x1c a \x1c b"]
-    for t in texts * 2:
-        assert list(np.frombuffer(e.encode([t])[0], "<u4")) == e.tokenizer.encode(t, add_special_tokens=False).ids
+    texts += ["word, word; (x) w\u00e9ll!! don't. naïve—x", "z" * 5000 + " " + "z" * 5000, "a\tb c\u2003d e\u0085f", "x y" * 3000]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for t, ids in [*zip(texts, want)] * 2:
+        assert e.encode(pa.array([t]))[0].tolist() == ids
+    for end in (None, 0):
+        ids, n = e.encode(pa.array([None, *texts, None]).slice(1), end)
+        extra = [] if end is None else [end]
+        assert ids.tolist() == [i for w in [*want, []] for i in [*w, *extra]] and n.tolist() == [len(w) + len(extra) for w in [*want, []]]
+    assert e.lengths(pa.array(texts)).tolist() == [len(w) for w in want]
+
+
+def test_token_files_are_read_in_part(spark, tmp_path):
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of document "), F.col("id")).alias("text"))
+    out = str(tmp_path / "tokens")
+    tokens.write_token_files(docs, out, page_bytes=1 << 10)
+    some = tokens.select_tokens(spark, out, low=1000, high=1009)
+    assert sorted(r["doc_id"] for r in some.collect()) == list(range(1000, 1010))
+    whole = {r["doc_id"]: r["ids"] for r in tokens.select_tokens(spark, out).collect()}
+    assert len(whole) == 4000 and all(whole[r["doc_id"]] == r["ids"] for r in some.collect())
+
+    def rows_scanned(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    some = tokens.select_tokens(spark, out, low=1000, high=1009)
+    assert rows_scanned(some) < 2000  # pages of the row group are skipped
+    lengths = tokens.select_tokens(spark, out, low=1000, high=1009, ids=False)
+    assert "ids" not in lengths._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
 @pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 60)])
@@ -148,6 +179,39 @@ def test_signatures_of_similar_sets_meet():
                     assert set(jaccard.signatures(np.unique(s), percent, known)) & set(jaccard.signatures(np.unique(t), percent, known))
 
 
+def test_left_out_signatures_leave_one_in_common():
+    """Whatever is hot: random heats, and the worst ones, on what two sets at the limit of similarity share."""
+    rnd = np.random.default_rng(6)
+    for percent in (60, 80, 85):
+        for size in (13, 60, 300, 900):
+            for trial in range(20):
+                drop = size * (100 - percent) // (100 + percent)
+                s = rnd.integers(0, 2**63, size, dtype=np.uint64)
+                t = np.concatenate([s[drop:], rnd.integers(0, 2**63, drop, dtype=np.uint64)])
+                known = jaccard.bands(percent, size)
+                sigs = [jaccard.signatures(np.unique(x), percent, known) for x in (s, t)]
+                shared = set(sigs[0].tolist()) & set(sigs[1].tolist())
+                heat = {g: 3 if g in shared or trial % 2 else int(rnd.integers(0, 6)) for x in sigs for g in x.tolist()}
+                if trial % 4 == 1:
+                    heat = {g: int(rnd.integers(3, 9)) for g in heat}
+                left = []
+                for x in sigs:
+                    real = [g for g in x.tolist() if g >> 62 != jaccard.KIND_MARK]
+                    may = {g >> 61 & 1: g >> 37 & (jaccard.LARGE - 1) for g in x.tolist() if g >> 62 == jaccard.KIND_MARK}
+                    slots = {}
+                    for g in real:
+                        slot = g >> 51 if g >> 62 == jaccard.KIND_SMALL else g >> 37
+                        if heat[g] >= 3:
+                            slots[slot] = max(slots.get(slot, 0), heat[g])
+                    kept = {}
+                    for parity in (0, 1):
+                        order = sorted((h for k, h in slots.items() if k >> (10 if k < 1 << 13 else 24) & 1 == parity), reverse=True)
+                        if parity in may:
+                            kept[parity] = order[may[parity]] if may[parity] < len(order) else 0
+                    left.append({g for g in real if heat[g] < 3 or heat[g] <= kept.get(g >> 61 & 1, 99)})
+                assert left[0] & left[1]
+
+
 def test_join_odd_rows(spark, odd):
     keyed = [(k, t) for k, t in rows(spark, odd) if k is not None]
     got = [tuple(r) for r in QUERIES["op9_partenum_join"](spark, odd).collect() if r["doc_id"] is not None]

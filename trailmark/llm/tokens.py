@@ -7,22 +7,24 @@ has no ids. Rows with equal keys are kept apart; a null key sorts first. Extra c
 import os
 import re
 import zlib
-from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trailmark.llm.common import shared_path, slices, table, texts_of, written
+from trailmark.llm.common import shared_path, slices, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 700_000
+CACHED_PIECES = 1_000_000
+ENCODED_BYTES = 8 << 20
 JOINED_PIECES = 512
-CACHED_CHARS = 40
+CACHED_BYTES = 48
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 BUCKET = 1024
@@ -34,21 +36,26 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: White space other than a space and a line end, as a class of Arrow's patterns.
+WHITE = "".join(f"\\x{{{i:04X}}}" for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece and remembers the pieces.
+    """Encodes columns of texts piece by piece and remembers the pieces.
 
     The byte-level pre-tokenizer ends a token before every single space between two other characters, and no
-    merge crosses such an end; so texts are cut there, and each distinct piece is encoded once by the library.
+    merge crosses such an end; so texts are cut there, and each distinct piece of a column is looked up or encoded
+    once by the library; then the ids of all texts are gathered at once. Arrow and numpy do all but the library's part.
     New pieces without white space go to the library many at a time, joined by spaces: only a token at the start of
-    a piece starts with a space, so the ids are cut there. Memory is bounded: short pieces only, and a full cache
-    keeps those of the texts at hand.
+    a piece starts with a space, so the ids are cut there. Memory is bounded: only short pieces are remembered, and a full
+    memory keeps those of the texts at hand.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
     #: Letters, then signs without an apostrophe: the pre-tokenizer ends a token between the two.
-    SIGNED = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)")
+    SIGNED = r"\A(?P<word>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+)(?P<sign>[!-&(-/:-@\[-`{-~]+)\z"
     #: A text without these splits at every space; a line end is fine between two other characters.
-    ODD = ("  ", " \n", "\n ", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"))
+    ODD = rf"\A | \z| [ \n]|\n |[{WHITE}]"
 
     def __init__(self, path: str, cached: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,60 +67,124 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[:1] == "\u0120"]] = True  # how byte-level models write a space
-        self.known: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        odd = text[:1] == " " or text[-1:] == " " or any(w in text for w in self.ODD)
-        return self.CUT.split(text) if odd else text.split(" ")
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _after_space(self, pieces: list[str]) -> list[bytes]:
+        self.known, self.store = pa.array([], pa.string()), _Runs()  # pieces after a space, and their ids
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text, one at least; null is empty."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        odd = pc.match_substring_regex(texts, self.ODD)
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(texts, " ")
+        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        other = pa.array([self.CUT.split(t) for t in texts.filter(odd).to_pylist()], plain.type)
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        return pa.concat_arrays([plain, other]).take(pa.array(place))
+
+    def _alone(self, pieces: list[str]) -> "_Runs":
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return _Runs(np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _after_space(self, pieces: list[str]) -> "_Runs":
         """Ids of each piece with a space before it; the pieces have no white space."""
-        out = []
+        out = [_Runs()]
         for at in range(0, len(pieces), JOINED_PIECES):
             part = pieces[at : at + JOINED_PIECES]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):  # a tokenizer that splits otherwise
-                out += self._encode([" " + p for p in part])
-                continue
-            raw, edges = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            out += [raw[a:z] for a, z in zip(edges, edges[1:])]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        heads = self._encode([p[0] for p in cut])
-        tails = [p[1:] for p in cut]
-        used = set().union(*tails)
-        if len(self.known) > self.cached:
-            self.known = {p: self.known[p] for p in used if p in self.known}
-        known, signed = self.known, {}
-        need = used.difference(known)
-        for piece in list(need):
-            if m := self.SIGNED.fullmatch(piece):
-                signed[piece] = m.groups()
-                need.discard(piece)
-        need.update(word for word, _ in signed.values() if word not in known)
-        white = [p for p in need if p.split() != [p]]
-        need = list(need.difference(white))
-        for piece, ids in (*zip(need, self._after_space(need)), *zip(white, self._encode([" " + p for p in white]))):
-            known[piece] = ids
-        signs = list({s for _, s in signed.values()}.difference(self.signs))
-        self.signs.update(zip(signs, self._encode(signs)))
-        for piece, (word, sign) in signed.items():
-            known[piece] = known[word] + self.signs[sign]
-        if len(self.signs) > 10_000:
-            self.signs.clear()
-        out = [h + b"".join(map(known.__getitem__, t)) for h, t in zip(heads, tails)]
-        for piece in (*need, *white, *signed):
-            if len(piece) > CACHED_CHARS:
-                del known[piece]
-        return out
+            # Otherwise the tokenizer splits in another way.
+            out.append(_Runs(ids, np.diff(np.append(starts, len(ids)))) if len(starts) == len(part) else self._alone([" " + p for p in part]))
+        return _Runs.of(out)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encodes pieces that are not known."""
+        split = pc.extract_regex(pieces, self.SIGNED)
+        signed, words, signs = pieces.filter(split.is_valid()), *split.drop_null().flatten()
+        need = pieces.filter(split.is_null())
+        missing = pc.unique(words)
+        missing = missing.filter(pc.invert(pc.or_(pc.is_in(missing, self.known), pc.is_in(missing, need))))
+        need = pa.concat_arrays([need, missing])
+        white = pc.match_substring_regex(need, rf"[ \n{WHITE}]")
+        white, need = need.filter(white), need.filter(pc.invert(white))
+        self.known = pa.concat_arrays([self.known, need, white])
+        self.store = _Runs.of([self.store, self._after_space(need.to_pylist()), self._alone([" " + p for p in white.to_pylist()])])
+        if len(signed):
+            coded = signs.dictionary_encode()
+            both = _Runs.of([self.store, self._alone(coded.dictionary.to_pylist())])
+            pairs = np.stack([pc.index_in(words, self.known).to_numpy().astype(np.int64), coded.indices.to_numpy() + len(self.known)], 1)
+            self.known = pa.concat_arrays([self.known, signed])
+            self.store = _Runs.of([self.store, _Runs(both.gather(pairs.ravel()), both.size[pairs].sum(1))])
+
+    def _forget(self, used: np.ndarray) -> None:
+        """Leaves the short pieces, and of a full memory only the used ones."""
+        keep = pc.binary_length(self.known).to_numpy() <= CACHED_BYTES
+        if keep.sum() > self.cached:
+            keep &= np.bincount(used, minlength=len(keep)) > 0
+        if not keep.all():
+            self.known, self.store = self.known.filter(pa.array(keep)), self.store.take(np.flatnonzero(keep))
+
+    def _places(self, texts: pa.Array) -> tuple["_Runs", np.ndarray, np.ndarray]:
+        """The store, places in it of all pieces of all texts, and the first piece of each text and the end of all."""
+        lists = self.cut(texts)
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        edges -= edges[0]
+        codes = coded.indices.to_numpy()
+        tail = np.ones(len(codes), bool)
+        tail[edges[:-1]] = False
+        at = np.flatnonzero(np.bincount(codes[tail], minlength=len(coded.dictionary)))
+        used = coded.dictionary.take(pa.array(at))
+        found = pc.index_in(used, self.known)
+        if found.null_count:
+            self._learn(used.filter(found.is_null()))
+            found = pc.index_in(used, self.known)
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[at] = found.to_numpy()
+        places = place[codes]
+        first, which = np.unique(codes[edges[:-1]], return_inverse=True)
+        store = _Runs.of([self.store, self._alone(coded.dictionary.take(pa.array(first)).to_pylist())])
+        places[edges[:-1]] = which + len(self.store.size)
+        self._forget(place[at])
+        return store, places, edges
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text."""
+        if not len(texts):
+            return np.zeros(0, np.int64)
+        store, places, edges = self._places(texts)
+        return np.add.reduceat(store.size[places], edges[:-1])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of each text's. With `end`, that id follows each text."""
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        store, places, edges = self._places(texts)
+        n = np.add.reduceat(store.size[places], edges[:-1])
+        if end is not None:
+            places, n = np.insert(places, edges[1:], len(store.size)), n + 1
+            store = _Runs.of([store, _Runs(np.array([end], "<u4"), np.ones(1, np.int64))])
+        return store.gather(places), n
+
+
+class _Runs:
+    """Runs of ids, numbered."""
+
+    def __init__(self, ids=np.zeros(0, "<u4"), size=np.zeros(0, np.int64)):
+        self.ids, self.size = ids, size
+        self.start = np.cumsum(size) - size
+
+    @staticmethod
+    def of(parts: list["_Runs"]) -> "_Runs":
+        return _Runs(np.concatenate([p.ids for p in parts]), np.concatenate([p.size for p in parts]))
+
+    def gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of some runs one after another."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[which] - ends + size, size) + np.arange(total)]
+
+    def take(self, which: np.ndarray) -> "_Runs":
+        return _Runs(self.gather(which), self.size[which])
 
 
 @lru_cache(1)
@@ -125,8 +196,9 @@ def encoder_of(path: str) -> PieceEncoder:
 def _doc_lengths(path: str, text: str):
     def run(batches):
         encoder, seen = encoder_of(path), Counter()
-        for part in slices(batches, text):
-            seen.update(len(x) // 4 for x in encoder.encode(texts_of(part, text)))
+        for part in slices(batches, text, ENCODED_BYTES):
+            n, docs = np.unique(encoder.lengths(part.column(part.schema.get_field_index(text))), return_counts=True)
+            seen.update(dict(zip(n.tolist(), docs.tolist())))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
 
     return run
@@ -175,20 +247,16 @@ def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def _encoded(path: str, key: str, text: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         encoder, shard, at = encoder_of(path), TaskContext.get().partitionId(), 0
-        for part in slices(batches, text):
-            ids = [x + end for x in encoder.encode(texts_of(part, text))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
+        for part in slices(batches, text, ENCODED_BYTES):
+            ids, n = encoder.encode(part.column(part.schema.get_field_index(text)), end_id)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), shard, np.int32)), part.column(part.schema.get_field_index(key)), pa.array(starts), pa.array(n),
-                 pa.ListArray.from_arrays(pa.array(offsets), values)], ["shard", key, "shard_start", "n_tokens", "ids"])
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view("<i4")))], ["shard", key, "shard_start", "n_tokens", "ids"])
 
     return run
 
@@ -220,6 +288,16 @@ def read_token_files(spark, out: str) -> tuple[DataFrame, DataFrame]:
     return rows, base
 
 
+def select_tokens(spark, out: str, key: str = "doc_id", low=None, high=None, ids: bool = True) -> DataFrame:
+    """Rows of token files with low <= key <= high (None: no bound), with or without their ids. The bounds reach the Parquet
+    reader, which skips files and row groups by their statistics and pages by the column index; without ids, only keys,
+    positions and lengths are read. Rows with a null key come only without bounds."""
+    rows = read_token_files(spark, out)[0]
+    for bound, fits in ((low, F.col(key) >= low), (high, F.col(key) <= high)):
+        rows = rows if bound is None else rows.where(fits)
+    return rows if ids else rows.drop("ids")
+
+
 def _crcs(batches):
     for b in batches:
         ids = b.column(b.schema.get_field_index("ids"))
