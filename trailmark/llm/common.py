@@ -2,6 +2,7 @@
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,9 +26,12 @@ def held_out(key: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where none is set."""
+    """A new path in the folder that driver and executors share; a temporary one only where none is set and all run in one
+    process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

@@ -24,7 +24,8 @@ compared in blocks of bounded size: first only the nearest-looking pairs that wo
 without all pairs of a group of copies. No step collects links or documents, and no bucket is capped.
 
 Null texts and texts without words have empty sets and link with nothing. A text with fewer words than a shingle is one
-shingle. Rows with equal keys are joined like any others. A null key never names a component that has another key.
+shingle. Very long texts are read whole, one at a time. Equal texts are one node, and rows with equal keys are joined like any
+others. A null key never names a component that has another key. An empty table gives no rows; extra columns are ignored.
 """
 
 import gc
@@ -369,10 +370,10 @@ def _fixed_bloom(spark: SparkSession, keys: DataFrame):
     return spark.sparkContext.broadcast(bits.tobytes())
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", store=written) -> DataFrame:
     """node, label (smallest node of its component) for all nodes of the links, by alternating large and small stars;
-    every round is written to the shared folder."""
-    edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    every round is written to the shared folder, by `store`."""
+    edges = store(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -381,7 +382,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
+        edges = store(small, "edges")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == last:
             break
@@ -452,21 +453,27 @@ def _let_go(spark: SparkSession) -> None:
 
 def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id: the smallest key reachable by links of similarity >= percent, itself included."""
-    spark = docs.sparkSession
+    spark, made = docs.sparkSession, []
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
     docs = docs.select(key, text)
     kind = dict(docs.dtypes)[key]
-    nodes = written(docs.mapInArrow(_nodes(words, key, text), f"`{key}` {kind}, n_shingles long, node long"), "nodes")
+    nodes = store(docs.mapInArrow(_nodes(words, key, text), f"`{key}` {kind}, n_shingles long, node long"), "nodes")
     sigs = docs.select(text).mapInArrow(_signatures(words, percent, text), "sig long, node long")
     buckets = _distinct_buckets(sigs)
+    made.append(buckets)
     _let_go(spark)
 
-    stars = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = store(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(BLOOM_BITS)).alias("bit")
     reps = nodes.groupBy("node").agg(F.min(key).alias(key)).join(wanted, "node", "left_semi")
     bloom = _fixed_bloom(spark, reps.select(bit).distinct())
     sets = docs.select(text, bit).mapInArrow(_candidate_sets(words, text, bloom), "node long, n long, sketch binary, fine binary, elements binary, lowest array<long>")
-    sets = written(sets.join(wanted, "node", "left_semi"), "sets")
+    sets = store(sets.join(wanted, "node", "left_semi"), "sets")
     sketches = sets.select("node", "n", "sketch").dropDuplicates(["node"])
 
     side = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
@@ -474,33 +481,35 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     best = near(stars).groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     alike = sets.select(F.col("node").alias("b"), F.posexplode("lowest").alias("i", "low"))  # similar sets often share a lowest hash
     alike = alike.join(alike.groupBy("i", "low").agg(F.min("b").alias("a")), ["i", "low"]).where("a <> b").select("a", "b").distinct()
-    likely = written(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
-    tested = written(_possible(likely, sets, percent), "pairs")
-    links = written(_verified(tested, sets, percent), "links")
+    likely = store(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
+    tested = store(_possible(likely, sets, percent), "pairs")
+    links = store(_verified(tested, sets, percent), "links")
     _let_go(spark)
-    labels = components(links)
+    labels = components(links, store=store)
     for forest in (True, False):
         open_ = _open_blocks(buckets, labels, sketches).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
         pairs = open_.mapInArrow(_block_pairs(percent, forest), "a long, b long").distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        pairs = written(_possible(pairs, sets, percent), "pairs")
+        pairs = store(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = store(_possible(pairs, sets, percent), "pairs")
         if forest:  # one pair is enough to join two components
             of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
             named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
             x, y = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
             pairs = named.groupBy(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-            pairs = written(pairs, "pairs")
+            pairs = store(pairs, "pairs")
         if not pairs.head(1):
             continue
-        links, tested = links.unionByName(written(_verified(pairs, sets, percent), "links")), tested.unionByName(pairs)
+        links, tested = links.unionByName(store(_verified(pairs, sets, percent), "links")), tested.unionByName(pairs)
         _let_go(spark)
-        labels = components(links)
+        labels = components(links, store=store)
 
     per_node = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = per_node.groupBy("label").agg(F.min("least").alias("component_id"))
     per_node = per_node.join(ids, "label").select("node", "component_id")
     out = nodes.join(per_node, "node", "left")
-    return out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    out = written(out.select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id")), "membership")
+    forget(*made)
+    return out
 
 
 def op9_partenum_join(spark, sf_dir: str) -> DataFrame:

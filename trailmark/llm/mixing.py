@@ -10,8 +10,10 @@ a seeded order, of which the last may be fractional, so that the words taken are
 sizes are found without sorting a source in one task: the seeded order is cut into 4,096 ranges by its leading digits,
 range totals are added per source, and only the range in which the target falls is sorted.
 
-A null source is a source of its own. Sources without words get target 0. Repeated rows count each. Rows whose key and
-text are equal are interchangeable.
+A null source is a source of its own. Sources without words get target 0, null and empty texts are never taken, and an empty
+table gives no rows. Very long texts count whole. Rows whose key and text are equal count each and are interchangeable as to
+which of them is taken; the order depends on key and text only, so any partitioning gives the same mix. Extra columns are
+ignored by `mix` and carried by `mixed_rows`, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,6 +35,12 @@ def n_words(text) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", 0).otherwise(F.size(F.split(trimmed, WORD_BREAK))).cast("long")
 
 
+def _draw(key: Column, text: Column, seed: str) -> Column:
+    """The place of a row in the seeded order; rows of equal or null keys with other texts have other places."""
+    hashed = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), hashed).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size, target from a table of source, source_size with a row for each source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -54,8 +62,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """key, source, size, source_size, target, copies (whole repetitions), part (words of one more), taken; with carry
     also the whole input row as the struct `row`."""
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), *row)
-    d = d.withColumn("draw", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary")))
+    d = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), _draw(F.col(key), F.col(text), seed).alias("draw"), *row)
     d = d.withColumn("range", F.substring("draw", 1, RANGE_DIGITS))
     ranges = d.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     t = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, budget_percent, max_epochs)
@@ -91,7 +98,7 @@ def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix_sql(documents: str = "documents") -> str:
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-  md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM {documents}),
+  md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS draw FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
 c AS (SELECT *, CASE rank % 3 WHEN 0 THEN {WEIGHTS[0]}.0::DOUBLE WHEN 1 THEN {WEIGHTS[1]}.0::DOUBLE ELSE {WEIGHTS[2]}.0::DOUBLE END AS w, source_size * {MAX_EPOCHS} AS cap FROM r),
