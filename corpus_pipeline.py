@@ -12,8 +12,12 @@ from trailmark.llm.common import table, written
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key column, and its name, which no other column has."""
+    name = "_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group that is linked by a Jaccard similarity of 80 % on five-word shingles."""
-    keyed = _keyed(docs)
-    groups = jaccard.membership(keyed.select("_key", "text"), key="_key", words=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = groups.where("_key = component_id").select("_key")
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keyed, key = _keyed(docs)
+    groups = jaccard.membership(keyed.select(key, "text"), key=key, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = groups.where(f"{key} = component_id").select(key)
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
-    keyed = _keyed(docs)
-    found = phrases.contamination(keyed, table(spark, sf_dir, "benchmark"), key="_key").where("contaminated").select("_key").distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    keyed, key = _keyed(docs)
+    found = phrases.contamination(keyed, table(spark, sf_dir, "benchmark"), key=key).where("contaminated").select(key).distinct()
+    return keyed.join(found, key, "left_anti").drop(key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
