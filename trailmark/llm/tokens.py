@@ -21,8 +21,8 @@ from trailmark.llm.common import shared_path, slices, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-CACHED_PIECES = 1_000_000
-ENCODED_BYTES = 8 << 20
+CACHED_PIECES = 200_000
+ENCODED_BYTES = 3 << 20
 JOINED_PIECES = 512
 CACHED_BYTES = 48
 ROW_GROUP_BYTES = 32 << 20
