@@ -11,7 +11,7 @@ from trailmark.plans import QUERIES
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINE = ["st_range_count", "st_range_batch", "id_temporal_count", "id_temporal_batch", "grid_count", "knn_k50", "knn_k500",
-            "knn_batch", "closest_pairs", "layout_time_oid", "layout_z2", "layout_str", "block_index", "seg_meta", "selectivity",
+            "knn_batch", "closest_pairs", "knn_join_per_point", "knn_join_timegap", "st_range_pruned", "id_temporal_pruned", "knn_pruned", "store_range", "layout_time_oid", "layout_z2", "layout_str", "block_index", "seg_meta", "selectivity",
             "pruning_ratio", "adaptive_route", "mbr_shape"]
 
 

@@ -8,7 +8,7 @@ from trailmark import operators as op
 from trailmark import schema
 from trailmark.sources import (event_points, read_geolife, read_id_queries, read_knn_queries, read_nyc, read_osm, read_porto,
                                read_st_queries, row_window)
-from trailmark.streaming import append_points
+from trailmark.streaming import append_points, grid_stream
 
 SF = "/root/testdata/sf0.001"
 POINT = "oid int, timestamp_sec int, lon int, lat int, pid long"
@@ -73,6 +73,79 @@ def test_csv_readers(spark, tmp_path):
     assert read_knn_queries(spark, str(tmp_path / "k")).first()["k"] == 10
 
 
+def test_readers_number_rows_without_gaps(spark, tmp_path):
+    spark.range(60).selectExpr("1 AS a", "'A' AS b", "id", "id * 10 AS t", "'A' AS c", "0 AS d", "1.5D AS x", "2.5D AS y").repartition(20).write.csv(str(tmp_path / "p"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        p = read_porto(spark, str(tmp_path / "p"))
+        assert p.rdd.getNumPartitions() > 5 and sorted(r["pid"] for r in p.collect()) == list(range(60))
+        assert row_window(p, 10, 5).count() == 5
+        assert op.layout_time_oid(p, capacity=7, segments=3, chunk_blocks=2).agg(F.countDistinct("block_id")).first()[0] == 9
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sparse_row_numbers_lay_out(spark):
+    p = spark.createDataFrame([(1, 5, 1, 1, i << 40) for i in range(5)], POINT)
+    assert op.layout_time_oid(p).select("block_id").distinct().count() == 5
+
+
+def test_times_are_utc(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [one(spark, fn.to_epoch(F.lit(t))) for t in ("2013-01-01 00:00:10", "2013-1-1 0:0:10", "bad", None)] == [1356998410, 1356998410, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_no_cartesian_products(spark):
+    from trailmark.sources import knn_queries, st_queries
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = event_points(spark, SF)
+        boxes = st_queries(spark, [(i, 0, 2**31 - 1, 7978498 + 900 * i, 7978498 + 900 * i + 4660, 12210074, 12219394) for i in range(9)])
+        near = knn_queries(spark, [(i, 7978498 + 900 * i, 12210074, 3 + i) for i in range(9)])
+        for df in (op.st_range_batch(p, boxes), op.knn_batch(p, near)):
+            plan = plan_of(df)
+            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_knn_batch_with_few_points_and_far_queries(spark):
+    from trailmark.sources import knn_queries
+
+    pts = [(1, 1, 5 * i, 7 * i % 11, i) for i in range(6)]
+    p = spark.createDataFrame(pts, POINT)
+    at = [(0, 3, 3, 4), (1, 16777215, 16777215, 2), (2, 0, 0, 50), (3, 10, 10, 0)]
+    want = {(q, n + 1, i) for q, x, y, k in at for n, (_, i) in enumerate(sorted(((r[2] - x) ** 2 + (r[3] - y) ** 2, r[4]) for r in pts)[:k])}
+    assert {(r["qid"], r["rank"], r["pid"]) for r in op.knn_batch(p, knn_queries(spark, at)).collect()} == want
+    assert op.knn_batch(p.limit(0), knn_queries(spark, at)).count() == 0
+
+
+def test_store_reads_only_the_blocks_of_a_query(spark, tmp_path):
+    op.TrailStore.of(op.layout_zorder(event_points(spark, SF), capacity=20, segments=4)).write(str(tmp_path / "s"))
+    s = op.TrailStore.open(spark, str(tmp_path / "s"))
+    q = op.Box(0, 2**31 - 1, 7979000, 7979900, 12211000, 12213000)
+    assert {r["pid"] for r in s.range(q).collect()} == {r["pid"] for r in op.st_range(event_points(spark, SF), q).collect()}
+    plan = plan_of(s.range(q))
+    assert "Exchange" not in plan and "GreaterThanOrEqual(block_id" in plan
+
+
+def test_joins_keep_plans_small(spark):
+    df = op.knn_join(event_points(spark, SF), 3)
+    assert plan_of(df).count("Join") == 0
+
+
 def test_row_window(spark):
     assert row_window(event_points(spark, SF), 10, 5).count() == 5
 
@@ -127,4 +200,20 @@ def test_stream_append(spark, tmp_path):
     event_points(spark, SF).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(POINT).parquet(str(tmp_path / "in"))
     append_points(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out/batch=0/points")).count() == 1000
+    t = op.TrailStore.open(spark, str(tmp_path / "out"))
+    assert t.total_points() == 1000 and t.blocks(0, 2).count() == 438
+    event_points(spark, SF).withColumn("pid", F.col("pid") + 1000).write.mode("append").parquet(str(tmp_path / "in"))
+    append_points(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    t = op.TrailStore.open(spark, str(tmp_path / "out"))
+    assert t.total_points() == 2000 and t.index.count() == 10 and t.segments.select("block_id").distinct().count() == 10
+    q = op.Box(0, 2**31 - 1, 7979000, 7985000, 12211000, 12219000)
+    assert t.range(q).count() == 2 * op.st_range(event_points(spark, SF), q).count()
+
+
+def test_grid_stream(spark, tmp_path):
+    event_points(spark, SF).write.parquet(str(tmp_path / "in"))
+    stream = grid_stream(spark.readStream.schema(POINT).parquet(str(tmp_path / "in")), 7978498, 12210074, 4660, 9320, window="1 day")
+    stream.writeStream.format("memory").queryName("grid").outputMode("complete").start().processAllAvailable()
+    assert spark.table("grid").agg(F.sum("n")).first()[0] == 1000
+    for q in spark.streams.active:
+        q.stop()

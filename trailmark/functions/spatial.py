@@ -25,10 +25,11 @@ def norm_lat(degrees) -> Column:
     return _normalise(degrees, 90.0)
 
 
-def to_epoch(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Date-time text to epoch seconds in UTC; text that cannot be read gives null."""
-    t = F.try_to_timestamp(F.col(text) if isinstance(text, str) else text, F.lit(fmt))
-    return F.unix_seconds(t).cast("int")
+def to_epoch(text) -> Column:
+    """Date-time text (year-month-day hour:minute:second) to epoch seconds in UTC, whatever the session's time zone; text that
+    cannot be read gives null."""
+    t = (F.col(text) if isinstance(text, str) else text).try_cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), t).cast("int")
 
 
 def _spread(value: Column, gap: int, bits: int) -> Column:
@@ -110,7 +111,8 @@ def _bloom_positions(oid) -> list[Column]:
 def bloom_bits(oid) -> tuple[Column, Column]:
     """The low and the high 64 bits that an object id sets in a segment's Bloom filter."""
     def half(base: int) -> Column:
-        bit = lambda p: F.when((p >= base) & (p < base + 64), F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), (p - base).cast("int"))).otherwise(F.lit(0).cast("long"))
+        one = F.lit(1).cast("long")
+        bit = lambda p: F.when((p >= base) & (p < base + 64), F.call_function("shiftleft", one, (p - base).cast("int"))).otherwise(F.lit(0).cast("long"))
         a, b = (bit(p) for p in _bloom_positions(oid))
         return a.bitwiseOR(b)
 

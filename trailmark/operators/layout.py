@@ -36,7 +36,7 @@ def zorder_key(option: str = "space") -> list[Column]:
 def _cut(ranked: DataFrame, first_block: Column, capacity: int, segments: int) -> DataFrame:
     """rn counts from 1 in the chunk; the last segment of a block takes what the equal split leaves."""
     slot = (F.col("rn") - 1) % capacity
-    return (ranked.withColumn("block_id", (first_block + F.expr(f"(rn - 1) div {capacity}")).cast("int"))
+    return (ranked.withColumn("block_id", (first_block + F.expr(f"(rn - 1) div {capacity}")).cast("long"))
             .withColumn("seg_id", F.least(F.floor(slot / (capacity // segments)), F.lit(segments - 1)).cast("int")))
 
 
@@ -57,6 +57,17 @@ def layout_zorder(points: DataFrame, option: str = "space", chunk_blocks: int =
     return _chunked(points, zorder_key(option), chunk_blocks, capacity, segments, block_offset)
 
 
+def layout_sorted(points: DataFrame, by: str, chunk_blocks: int = CHUNK_BLOCKS, capacity: int = POINTS_PER_BLOCK, segments: int = SEGMENTS_PER_BLOCK) -> DataFrame:
+    """By one of lon, lat and timestamp_sec, in chunks."""
+    return _chunked(points, [F.col(by), F.col("pid")], chunk_blocks, capacity, segments, 0)
+
+
+def split_by_size(laid_out: DataFrame, size: int, key: list[Column]) -> DataFrame:
+    """Segments of `size` points in each block, in the order of the key; the last one of a block may be smaller."""
+    rn = F.row_number().over(Window.partitionBy("block_id").orderBy(*key))
+    return laid_out.withColumn("seg_id", F.floor((rn - 1) / size).cast("int"))
+
+
 def layout_str(points: DataFrame, capacity: int = POINTS_PER_BLOCK, segments: int = SEGMENTS_PER_BLOCK) -> DataFrame:
     """Sort-tile-recursive packing of each week: slices by longitude, blocks by latitude, 3-D curve inside.
 
@@ -77,7 +88,7 @@ def layout_str(points: DataFrame, capacity: int = POINTS_PER_BLOCK, segments: in
     before = F.sum("blocks").over(Window.orderBy("week", "tile").rowsBetween(Window.unboundedPreceding, -1))
     first = per_tile.select("week", "tile", F.coalesce(before, F.lit(0)).alias("first"))
     inside = Window.partitionBy("block_id").orderBy(z3("lon", "lat", "timestamp_sec"), "pid")
-    out = cut.join(first, ["week", "tile"]).withColumn("block_id", (F.col("first") + F.col("in_tile")).cast("int")).withColumn("rn", F.row_number().over(inside))
+    out = cut.join(first, ["week", "tile"]).withColumn("block_id", (F.col("first") + F.col("in_tile")).cast("long")).withColumn("rn", F.row_number().over(inside))
     seg = F.least(F.floor((F.col("rn") - 1) / (capacity // segments)), F.lit(segments - 1)).cast("int")
     return out.withColumn("seg_id", seg).drop("week", "tile", "n_week", "r", "in_tile", "first", "rn")
 

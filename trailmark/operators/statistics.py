@@ -6,7 +6,7 @@ from trailmark.functions import bloom_may_contain
 from trailmark.operators.filters import Box, box_overlaps, prune_blocks, st_range
 from trailmark.schema import BLOCK_BYTES, POINT_BYTES, POINTS_PER_BLOCK
 
-# Scores at or below these go to the device.
+# Range scores at or below these go to the device, id scores below the first.
 GOODNESS_LIMIT = 0.3
 OVERLAP_LIMIT = 0.35
 
@@ -74,6 +74,15 @@ def adaptive_route(segments: DataFrame, index: DataFrame, q: Box) -> DataFrame:
             .withColumns({"route_goodness": to("goodness", GOODNESS_LIMIT), "route_overlap": to("overlap", OVERLAP_LIMIT)}))
 
 
+def adaptive_id_route(segments: DataFrame, index: DataFrame, oid: int, time_min: int, time_max: int) -> DataFrame:
+    """Share of the bytes of each block that holds the object, at overlapping times, in segments that may hold it, and where
+    the block would go: below the limit to the device."""
+    hit = index.where(F.array_contains("oids", oid) & (F.col("time_max") >= time_min) & (F.col("time_min") <= time_max))
+    good = segments.groupBy("block_id").agg((_bytes(_id_overlap(oid, time_min, time_max, True)).cast("double") / F.sum("seg_size")).alias("goodness"))
+    route = F.when(F.col("goodness") < GOODNESS_LIMIT, "device").otherwise("host")
+    return hit.join(good, "block_id").select("block_id", "goodness", route.alias("route"))
+
+
 def block_runs(blocks: DataFrame, span: int = 1 << 20) -> DataFrame:
     """Runs of consecutive block numbers: first block and length.
 

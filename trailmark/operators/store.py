@@ -1,10 +1,15 @@
-"""A laid-out point set as three Parquet tables: points, block index, segment metadata."""
+"""A laid-out point set as three Parquet tables: points, block index, segment metadata.
+
+Pruned queries find the blocks in the small tables and pass them to the scan of the points as a few ranges of block numbers;
+the exact filter follows in the same scan, so nothing is shuffled.
+"""
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trailmark.operators.filters import Box, box_overlaps, id_temporal, prune_blocks, st_range
+from trailmark.functions import bloom_may_contain
+from trailmark.operators.filters import Box, block_ranges, box_overlaps, id_temporal, st_range
 from trailmark.operators.layout import block_index, segment_meta
 
 
@@ -18,13 +23,13 @@ class TrailStore:
     def of(cls, laid_out: DataFrame) -> "TrailStore":
         return cls(laid_out, block_index(laid_out), segment_meta(laid_out))
 
-    def write(self, path: str, mode: str = "errorifexists", partitions: int | None = None) -> None:
-        """Rows clustered by block, so that row-group statistics prune; Parquet Bloom filters on the object."""
+    def write(self, path: str, mode: str = "errorifexists", partitions: int | None = None, below: str = "") -> None:
+        """below: a partition folder of each table. Rows clustered by block, so that row-group statistics prune; Parquet Bloom filters on the object."""
         args = ([partitions] if partitions else []) + ["block_id"]
         (self.points.repartitionByRange(*args).sortWithinPartitions("block_id", "seg_id", "pid").write.mode(mode)
-         .option("parquet.bloom.filter.enabled#oid", "true").option("parquet.bloom.filter.expected.ndv#oid", "100000").parquet(f"{path}/points"))
-        self.index.write.mode(mode).parquet(f"{path}/block_index")
-        self.segments.write.mode(mode).parquet(f"{path}/seg_meta")
+         .option("parquet.bloom.filter.enabled#oid", "true").option("parquet.bloom.filter.expected.ndv#oid", "100000").parquet(f"{path}/points/{below}"))
+        self.index.write.mode(mode).parquet(f"{path}/block_index/{below}")
+        self.segments.write.mode(mode).parquet(f"{path}/seg_meta/{below}")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "TrailStore":
@@ -35,15 +40,12 @@ class TrailStore:
         return self.points.where(f"block_id BETWEEN {int(first)} AND {int(first) + int(count) - 1}")
 
     def range(self, q: Box, prune: bool = True) -> DataFrame:
-        hit = self.segments.where(box_overlaps(q))
-        return st_range(prune_blocks(self.points, hit, ("block_id", "seg_id")) if prune else self.points, q)
+        points = self.points.where(block_ranges(self.segments.where(box_overlaps(q)))) if prune else self.points
+        return st_range(points, q)
 
     def id_temporal(self, oid: int, time_min: int, time_max: int, prune: bool = True) -> DataFrame:
-        from trailmark.functions import bloom_may_contain
-        from pyspark.sql import functions as F
-
         hit = self.segments.where((F.col("time_max") >= time_min) & (F.col("time_min") <= time_max) & bloom_may_contain("bloom_lo", "bloom_hi", F.lit(oid)))
-        points = prune_blocks(self.points, hit, ("block_id", "seg_id")) if prune else self.points
+        points = self.points.where(block_ranges(hit)) if prune else self.points
         return id_temporal(points, oid, time_min, time_max)
 
     def total_points(self) -> int:

@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from trailmark import functions as fn
 from trailmark import operators as op
 from trailmark.schema import POINTS_PER_BLOCK as P, SEGMENTS_PER_BLOCK as S
-from trailmark.sources import event_points, id_queries, knn_queries, random_points, sequential_points, st_queries
+from trailmark.operators.rounds import new_path
+from trailmark.sources import (
+    event_points, id_queries, knn_queries, random_points, read_geolife, read_id_queries, read_knn_queries, read_nyc, read_osm,
+    read_porto, read_st_queries, row_window, sequential_points, st_queries,
+)
 
 # The box and cell sizes of the workload, on the 24-bit grid; one month of 2024.
 LON0, LAT0 = 7978498, 12210074
@@ -69,6 +73,43 @@ def _store_id(s, d):
     return op.TrailStore.of(_laid(s, d)).id_temporal(OID, *ID_T)
 
 
+def _stored(s, d):
+    """A store that is written, and opened again."""
+    path = new_path(s, "store")
+    op.TrailStore.of(_laid(s, d)).write(path)
+    return op.TrailStore.open(s, path)
+
+
+def _csv(s, d, *columns):
+    """The path of a CSV file with some columns of the points, in degrees and as they come."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    path = new_path(s, "csv")
+    e.select(*(F.expr(c) for c in columns)).write.csv(path)
+    return path
+
+
+_LON = "(-88000 + (event_id * 7919 + user_id * 104729) % 3001) / 10000.0D AS x"
+_LAT = "(410000 + (event_id * 6101 + user_id * 15485863) % 3001) / 10000.0D AS y"
+_SEC = "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS t"
+_MOMENT = "date_format(CAST(ts AS TIMESTAMP_NTZ), 'yyyy-MM-dd HH:mm:ss') AS t"
+
+
+def _porto(s, d):
+    return read_porto(s, _csv(s, d, "event_id", "'A' AS c", "user_id", _SEC, "'A' AS k", "0 AS m", _LON, _LAT))
+
+
+def _workload(s, rows):
+    path = new_path(s, "queries")
+    s.createDataFrame(rows).coalesce(1).write.csv(path)
+    return path
+
+
+# Rows of query files, boxes and points in degrees.
+ID_FILE = [(r[1], r[2], r[3]) for r in ID_BATCH]
+ST_FILE = [(T0 + i * DAY, T0 + (i + 7) * DAY, -8.8 + i / 100, -8.7 + i / 100, 41.0 + i / 50, 41.1 + i / 50) for i in range(11)]
+KNN_FILE = [(-8.8 + i / 100, 41.0 + i / 50, 5 + i) for i in range(11)]
+
+
 def _matching(s, d):
     from trailmark.operators.filters import box_overlaps
 
@@ -85,6 +126,27 @@ QUERIES = {
     "bloom_bits": _bloom,
     "synthetic_sequential": lambda s, d: sequential_points(s, 100, 1000),
     "synthetic_random": lambda s, d: random_points(s, 0, 1000, 1 << 20),
+    "read_porto": lambda s, d: _porto(s, d).drop("pid"),
+    "read_porto_window": lambda s, d: row_window(_porto(s, d), 100, 50).agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first"), F.max("pid").alias("last")),
+    "read_nyc": lambda s, d: read_nyc(s, _csv(s, d, "user_id", _MOMENT, _LON, _LAT), row_id=False),
+    "read_osm": lambda s, d: read_osm(s, _csv(s, d, "event_id", _LON, _LAT, _SEC), row_id=False),
+    "read_geolife": lambda s, d: read_geolife(s, _csv(s, d, _SEC, _LON, _LAT), row_id=False).drop("oid"),
+    "read_id_queries": lambda s, d: read_id_queries(s, _workload(s, ID_FILE)),
+    "read_st_queries": lambda s, d: read_st_queries(s, _workload(s, ST_FILE)),
+    "read_knn_queries": lambda s, d: read_knn_queries(s, _workload(s, KNN_FILE)),
+    "store_points": lambda s, d: _stored(s, d).points,
+    "store_index": lambda s, d: _stored(s, d).index.withColumn("oids", F.concat_ws(",", F.col("oids").cast("array<string>"))),
+    "store_segments": lambda s, d: _stored(s, d).segments,
+    "store_range": lambda s, d: _stored(s, d).range(Q),
+    "store_id_temporal": lambda s, d: _stored(s, d).id_temporal(OID, *ID_T),
+    "id_temporal_indexed": lambda s, d: op.id_temporal_indexed(_laid(s, d), _index(s, d), OID, *ID_T),
+    "adaptive_id_route": lambda s, d: op.adaptive_id_route(_segments(s, d), _index(s, d), OID, *ID_T),
+    "layout_synthetic": lambda s, d: op.layout_time_oid(sequential_points(s, 0, 5000), per_block=True).select("pid", "block_id", "seg_id"),
+    "layout_space_time": _z("space_time"),
+    "layout_by_lon": lambda s, d: op.layout_sorted(_p(s, d), "lon").select("pid", "block_id", "seg_id"),
+    "layout_by_lat": lambda s, d: op.layout_sorted(_p(s, d), "lat").select("pid", "block_id", "seg_id"),
+    "layout_by_time": lambda s, d: op.layout_sorted(_p(s, d), "timestamp_sec").select("pid", "block_id", "seg_id"),
+    "split_by_size": lambda s, d: op.split_by_size(_laid(s, d), 50, op.time_oid_key()).select("pid", "block_id", "seg_id"),
     "st_range_points": lambda s, d: op.st_range(_p(s, d), Q),
     "st_range_count": lambda s, d: _count(op.st_range(_p(s, d), Q)),
     "st_range_pruned": _store_range,
@@ -156,7 +218,7 @@ def _sql(body: str, *ctes: str) -> str:
 
 def _layout_sql(order: str, chunk_blocks: int = 8192, offset: int = 0) -> str:
     return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY pid // {chunk_blocks * P} ORDER BY {order}) AS rn FROM points),
-laid AS (SELECT oid, timestamp_sec, lon, lat, pid, CAST(pid // {chunk_blocks * P} * {chunk_blocks} + {offset} + (rn - 1) // {P} AS INTEGER) AS block_id,
+laid AS (SELECT oid, timestamp_sec, lon, lat, pid, CAST(pid // {chunk_blocks * P} * {chunk_blocks} + {offset} + (rn - 1) // {P} AS BIGINT) AS block_id,
   CAST(least(((rn - 1) % {P}) // {P // S}, {S - 1}) AS INTEGER) AS seg_id FROM ranked)"""
 
 
@@ -174,8 +236,8 @@ def _bit_sql(half: int) -> str:
     for start, base in ((5381, 33), (0, 65599)):
         p = position(start, base)
         lo = 64 * half
-        bits.append(f"(CASE WHEN {p} = {lo + 63} THEN -9223372036854775808 WHEN {p} BETWEEN {lo} AND {lo + 62} THEN (1::BIGINT << CAST(least({p} - {lo}, 62) AS INTEGER)) ELSE 0 END)".replace(
-            "(1::BIGINT << CAST(least(", "(1::BIGINT << CAST(greatest(0, least(").replace(", 62) AS INTEGER))", ", 62)) AS INTEGER))"))
+        at = f"CAST(greatest(0, least({p} - {lo}, 62)) AS INTEGER)"
+        bits.append(f"(CASE WHEN {p} = {lo + 63} THEN -9223372036854775808 WHEN {p} BETWEEN {lo} AND {lo + 62} THEN (1::BIGINT << {at}) ELSE 0 END)")
     return f"({bits[0]} | {bits[1]})"
 
 
@@ -252,6 +314,33 @@ ORACLES = {
     "dist_minmax": _sql(f"SELECT block_id, seg_id, {_minmax_sql()} AS d FROM seg", _TIME, _SEG),
     "bloom_bits": _sql(f"SELECT DISTINCT oid, {_bit_sql(0)} AS bloom_lo, {_bit_sql(1)} AS bloom_hi FROM points"),
     "synthetic_sequential": "SELECT 12 AS oid, CAST(range AS INTEGER) AS timestamp_sec, CAST(range AS INTEGER) AS lon, CAST(range AS INTEGER) AS lat, range AS pid FROM range(100, 1100)",
+    "synthetic_random": "SELECT 12 AS oid, v AS timestamp_sec, v AS lon, v AS lat, pid FROM (SELECT range AS pid, CAST(((range + 1 + 7 * 7919) % 2147483647 * 48271 % 2147483647 + 7) % 2147483647 * 69621 % 2147483647 % 1048576 AS INTEGER) AS v FROM range(1000))",
+    "read_porto": _sql("SELECT oid, timestamp_sec, lon, lat FROM points"),
+    "read_porto_window": "SELECT 50 AS n, 100 AS first, 149 AS last",
+    "read_nyc": _sql("SELECT oid, timestamp_sec, lon, lat FROM points"),
+    "read_osm": _sql("SELECT CAST(pid AS INTEGER) AS oid, timestamp_sec, lon, lat FROM points"),
+    "read_geolife": _sql("SELECT timestamp_sec, lon, lat FROM points"),
+    "read_id_queries": "SELECT * FROM " + _values([(i, *r) for i, r in enumerate(ID_FILE)]) + " q(qid, oid, time_min, time_max)",
+    "read_st_queries": "SELECT qid, time_min, time_max, " + ", ".join(_NORM.format(d=c, h=h, w=2 * h) + f" AS {n}" for c, h, n in (("a", 180, "lon_min"), ("b", 180, "lon_max"), ("c", 90, "lat_min"), ("d", 90, "lat_max")))
+        + " FROM (SELECT qid, time_min, time_max, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM " + _values([(i, *r) for i, r in enumerate(ST_FILE)]) + " q(qid, time_min, time_max, a, b, c, d))",
+    "read_knn_queries": "SELECT qid, " + ", ".join(_NORM.format(d=c, h=h, w=2 * h) + f" AS {n}" for c, h, n in (("a", 180, "lon"), ("b", 90, "lat"))) + ", k FROM (SELECT qid, a::DOUBLE AS a, b::DOUBLE AS b, k FROM "
+        + _values([(i, *r) for i, r in enumerate(KNN_FILE)]) + " q(qid, a, b, k))",
+    "store_points": _sql("SELECT oid, timestamp_sec, lon, lat, pid, block_id, seg_id FROM laid", _TIME),
+    "store_index": _sql("SELECT * FROM idx", _TIME, _IDX),
+    "store_segments": _sql("SELECT * FROM seg", _TIME, _SEG),
+    "store_range": _sql(f"SELECT block_id, seg_id, oid, timestamp_sec, lon, lat, pid FROM laid WHERE {_IN}", _TIME),
+    "store_id_temporal": _sql(f"SELECT block_id, seg_id, oid, timestamp_sec, lon, lat, pid FROM laid WHERE {_ID}", _TIME),
+    "id_temporal_indexed": _sql(f"SELECT block_id, seg_id, oid, timestamp_sec, lon, lat, pid FROM laid WHERE {_ID}", _TIME),
+    "adaptive_id_route": _sql(
+        "SELECT block_id, goodness, CASE WHEN goodness < 0.3 THEN 'device' ELSE 'host' END AS route FROM g JOIN b USING (block_id)", _TIME, _SEG,
+        f"g AS (SELECT block_id, coalesce(sum(seg_size) FILTER (time_min <= {ID_T[1]} AND time_max >= {ID_T[0]} AND {_bloom_test_sql()}), 0)::DOUBLE / sum(seg_size)::DOUBLE AS goodness FROM seg GROUP BY block_id)",
+        f"b AS (SELECT block_id FROM laid GROUP BY block_id HAVING bool_or(oid = {OID}) AND min(timestamp_sec) <= {ID_T[1]} AND max(timestamp_sec) >= {ID_T[0]})"),
+    "layout_synthetic": f"SELECT range AS pid, range // {P} AS block_id, CAST(least((least((range // {P} + 1) * {P}, 5000) - 1 - range) // {P // S}, {S - 1}) AS INTEGER) AS seg_id FROM range(5000)",
+    "layout_space_time": _sql(_LAID, _layout_sql(f"{_z3_sql('timestamp_sec')}, pid")),
+    "layout_by_lon": _sql(_LAID, _layout_sql("lon, pid")),
+    "layout_by_lat": _sql(_LAID, _layout_sql("lat, pid")),
+    "layout_by_time": _sql(_LAID, _layout_sql("timestamp_sec, pid")),
+    "split_by_size": _sql("SELECT pid, block_id, CAST((row_number() OVER (PARTITION BY block_id ORDER BY oid, timestamp_sec DESC, pid) - 1) // 50 AS INTEGER) AS seg_id FROM laid", _TIME),
     "st_range_points": _sql(f"SELECT * FROM points WHERE {_IN}"),
     "st_range_count": _sql(f"SELECT count(*) AS n FROM points WHERE {_IN}"),
     "st_range_pruned": _sql(f"SELECT block_id, seg_id, oid, timestamp_sec, lon, lat, pid FROM laid WHERE {_IN}", _TIME),
@@ -284,7 +373,7 @@ ORACLES = {
     "layout_time_pref": _sql(_LAID, _layout_sql(f"timestamp_sec // 300, {_Z2}, pid")),
     "layout_space_pref": _sql(_LAID, _layout_sql(f"{_Z2} >> 11, timestamp_sec, pid")),
     "layout_no_pref": _sql(_LAID, _layout_sql(f"{_z3_sql('(timestamp_sec // 5)')}, pid")),
-    "layout_str": _sql(f"SELECT pid, CAST(block_id AS INTEGER) AS block_id, CAST(least((rn - 1) // {P // S}, {S - 1}) AS INTEGER) AS seg_id FROM r4", _STR),
+    "layout_str": _sql(f"SELECT pid, CAST(block_id AS BIGINT) AS block_id, CAST(least((rn - 1) // {P // S}, {S - 1}) AS INTEGER) AS seg_id FROM r4", _STR),
     "block_index": _sql("SELECT * FROM idx", _TIME, _IDX),
     "seg_meta": _sql("SELECT * FROM seg", _TIME, _SEG),
     "est_size_range": _sql(f"SELECT CAST(coalesce(sum(seg_size), 0) AS BIGINT) AS bytes FROM seg WHERE {_OVER}", _TIME, _SEG),

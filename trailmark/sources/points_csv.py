@@ -14,10 +14,25 @@ def _number(name: str, kind: str) -> Column:
     return F.col(name).try_cast(kind)
 
 
+def with_row_numbers(df: DataFrame, name: str = "pid") -> DataFrame:
+    """Dense row numbers from 0 in the order of partitions: rows are counted once, and each partition starts after those
+    before it. The counts, one for each partition, make a broadcast table."""
+    part = F.spark_partition_id()
+    counts = df.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before, table = 0, []
+    for part_id, n in sorted(map(tuple, counts)):
+        table.append((part_id, before - (part_id << 33)))
+        before += n
+    starts = df.sparkSession.createDataFrame(table, "part int, shift long")
+    numbered = df.withColumn(name, F.monotonically_increasing_id()).withColumn("part", part)
+    return numbered.join(F.broadcast(starts), "part").withColumn(name, F.col(name) + F.col("shift")).drop("part", "shift")
+
+
 def _points(raw: DataFrame, oid: Column, seconds: Column, row_id: bool) -> DataFrame:
     lon, lat = _number("longitude", "double"), _number("latitude", "double")
     cols = [oid.alias("oid"), seconds.alias("timestamp_sec"), norm_lon(lon).alias("lon"), norm_lat(lat).alias("lat")]
-    return raw.select(*cols, *([F.monotonically_increasing_id().alias("pid")] if row_id else []))
+    points = raw.select(*cols)
+    return with_row_numbers(points) if row_id else points
 
 
 def read_porto(spark: SparkSession, path: str, row_id: bool = True) -> DataFrame:
@@ -45,5 +60,5 @@ def read_geolife(spark: SparkSession, path: str, row_id: bool = True) -> DataFra
 
 
 def row_window(points: DataFrame, offset: int, count: int, by: str = "pid") -> DataFrame:
-    """Rows offset .. offset+count-1 by a dense row number column, such as one given at ingest."""
+    """Rows offset .. offset+count-1 by a dense row number column, such as the readers give."""
     return points.where(F.col(by).between(offset, offset + count - 1))

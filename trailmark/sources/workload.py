@@ -3,11 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trailmark.functions import norm_lat, norm_lon, to_epoch
+from trailmark.sources.points_csv import with_row_numbers
 
 
 def _rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(path, header=False).withColumn("qid", F.monotonically_increasing_id())
+    return with_row_numbers(spark.read.schema(schema).csv(path, header=False), "qid")
 
 
 def _time(name: str, datetimes: bool):

@@ -4,14 +4,21 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trailmark.operators.layout import layout_zorder
+from trailmark.operators.rounds import materialised
 from trailmark.operators.store import TrailStore
 
+BATCH_BLOCKS = 1 << 32
+
 
 def append_points(points: DataFrame, path: str, checkpoint: str, option: str = "space") -> StreamingQuery:
-    """Lays out each micro-batch and appends it as a store of its own under path/batch=N, so that a batch that
-    is run again replaces itself."""
+    """Lays out each micro-batch and writes it as partition batch=N of the store's three tables, so that a batch that
+    is run again replaces itself. Blocks of batch N are numbered from N * BATCH_BLOCKS; `TrailStore.open(path)` reads all."""
     def add(batch: DataFrame, n: int) -> None:
-        TrailStore.of(layout_zorder(batch, option)).write(f"{path}/batch={n}", mode="overwrite")
+        batch = materialised(batch)
+        if batch.head(1):
+            least = batch.agg(F.min("pid")).first()[0]
+            laid = layout_zorder(batch.withColumn("pid", F.col("pid") - least), option, block_offset=n * BATCH_BLOCKS)
+            TrailStore.of(laid.withColumn("pid", F.col("pid") + least)).write(path, mode="overwrite", below=f"batch={n}")
 
     return points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
 
