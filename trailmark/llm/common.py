@@ -76,6 +76,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        batch = size = ends = None
+    release()
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:

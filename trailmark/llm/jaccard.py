@@ -47,7 +47,7 @@ LEAST_SHARE = 3  # elements of a set for each that may differ, in bands that are
 SKETCH_BITS = 1024
 BLOCK = 256
 BLOOM_BITS = 1 << 24
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 250_000
 SEEN_NODES = 200_000
 LOWEST = 3
 HOT = 8
