@@ -394,6 +394,26 @@ def test_html_drops_no_more_than_the_element():
     assert texts("<p>a</p><style>x") == texts("<p>a</p><!-- x") == ["a"]
 
 
+def test_html_reads_malformed_and_deep_pages_in_linear_time():
+    import time
+
+    reader = html.PageReader(html.path_rows())
+    for page in ('<p class="' * 300_000, "<a " * 1_000_000, "<div>x" * 500_000, '<p ">' * 600_001, "<!-- x <p> " * 300_000, "<div class=c%d>x" * 100_000, '<p class="' * 300_000 + ">", "<" * 3_000_000):
+        began = time.process_time()
+        blocks = reader.blocks(page)
+        assert time.process_time() - began < 60, page[:20]
+        assert page[:6] != "<div>x" or len(blocks) == 500_000
+    texts = lambda page: [b[0] for b in html.PageReader().blocks(page)]
+    assert texts("<p>One</p>two <b") == ["One", "two"] and texts("<p>One</p>two < 3") == ["One", "two < 3"]
+    assert texts("<p>One</p>two <!-- x") == ["One", "two"] and texts("<p>One<!-- x </p>two") == ["One"]
+    assert texts("<p>One<script>x</p>two <b") == ["One"] and texts("<p>One<!-- x -->") == ["One"] and texts("a < b") == ["a < b"] and texts("a <b c") == ["a"]
+
+
+def test_items_with_one_window_are_listed_in_linear_time():
+    found = phrases.item_windows([(i, "the same ten words in each of all these items") for i in range(50_000)] * 2)
+    assert [len(v) for v in found.values()] == [50_000]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     x, w, b = rng.normal(size=(4, 3, html.WIDTH)), rng.normal(size=(html.WIDTH + html.HIDDEN, 4 * html.HIDDEN)) * 0.3, rng.normal(size=4 * html.HIDDEN)

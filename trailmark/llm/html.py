@@ -10,7 +10,8 @@ input nor labels of it. Its size does not depend on the data.
 
 Null and empty pages, and pages without a main block, give an empty text. Unclosed tags end with their parent, unclosed comments,
 scripts, styles and titles with the page; other elements that are no text (svg, video, ...) lose only their tag when they are
-not closed, and an svg or math tag that ends in `/>` is empty. Repeated pages are read each.
+not closed, and an svg or math tag that ends in `/>` is empty. Very long pages are read whole, one at a time. Repeated pages are
+read each. An empty table gives no rows; other columns than the named ones are ignored.
 """
 
 import html
@@ -46,29 +47,37 @@ BAG_PART = 1 << 16
 
 
 class PageReader:
-    """Cuts a page into blocks: (text, path tokens, characters inside links, innermost tag)."""
+    """Cuts a page into blocks: (text, distinct path tokens, characters inside links, innermost tag).
 
-    def __init__(self):
+    With `known`, only those path tokens are read. The time grows with the page, however malformed or deep it is: what follows the
+    last `>` holds no whole tag and is not searched for one, and a path is that of the parent and what its own tag adds.
+    """
+
+    def __init__(self, known=None):
+        self.known = known
         raw = "|".join(TO_THE_END)
         drop = "|".join(t for t in DROPPED if t != "head" and t not in TO_THE_END)
         attrs = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
         self.tag = re.compile(
-            rf"<!--.*?(?:-->|\Z)|<(?P<raw>{raw})(?=[\s/>])[^>]*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+            rf"<!--.*?(?:(?P<done>-->)|\Z)|<(?P<raw>{raw})(?=[\s/>])[^>]*+>(?:.*?(?P<shut></(?P=raw)\s*+>)|.*\Z)"
             rf"|<(?P<drop>{drop})(?=[\s/>])(?:{attrs}>|[^>]*+>)"
             rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{attrs})>"
-            r"|</?[a-zA-Z][^>]*+>|<![^>]*+>|<\?[^>]*+>|<[/a-zA-Z!?][^<]*+\Z", re.S | re.I)
+            r"|</?[a-zA-Z][^>]*+>|<![^>]*+>|<\?[^>]*+>", re.S | re.I)
+        self.opening = re.compile(r"<[/a-zA-Z!?]")
         self.attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
         self.close = {t: re.compile(rf"</{t}\s*+>", re.I) for t in drop.split("|")}
         self.inline, self.void = frozenset(INLINE), frozenset(VOID)
         self.closes = {k: frozenset(v.split()) for k, v in CLOSES.items()}
         self.keeps_p = frozenset(["html", "body"])
 
-    def names(self, name: str, attrs: str) -> list[str]:
-        out = [name]
+    def path(self, above: tuple, name: str, attrs: str) -> tuple:
+        """The path tokens of a tag: those above it and its own, each once."""
+        own = [name]
         if "=" in attrs:
             for kind, a, b, c in self.attr.findall(attrs):
-                out += [f".{w}" for w in re.findall(r"[a-z]+", (a or b or c).lower())]
-        return out
+                own += [f".{w}" for w in re.findall(r"[a-z]+", (a or b or c).lower())]
+        own = [t for t in dict.fromkeys(own) if t not in above and (self.known is None or t in self.known)]
+        return (*above, *own) if own else above
 
     def blocks(self, page: str) -> list[tuple[str, list[str], int, str]]:
         out, stack, buffer, links, in_link, at = [], [], [], 0, 0, 0
@@ -78,11 +87,19 @@ class PageReader:
             if buffer:
                 text = " ".join(html.unescape("".join(buffer)).split())
                 if text:
-                    out.append((text, [x for _, names in stack for x in names], links, stack[-1][0] if stack else ""))
+                    out.append((text, stack[-1][1] if stack else (), links, stack[-1][0] if stack else ""))
                 buffer, links = [], 0
 
+        def leave() -> str:
+            name = stack.pop()[0]
+            inside[name] -= 1
+            return name
+
+        inside = Counter()  # open elements by name
         never_closed = set()  # names without a closing tag in the rest of the page
-        while m := self.tag.search(page, at):
+        last = page.rfind(">") + 1
+        cut = False  # by a comment, script, style or title that nothing closes
+        while m := self.tag.search(page, at, last):
             a, z = m.span()
             if a > at:
                 buffer.append(page[at:a])
@@ -93,13 +110,14 @@ class PageReader:
                 name = m["drop"].lower()
                 if name in never_closed or name in EMPTY_BY_SLASH and page[z - 2] == "/":
                     continue
-                if shut := self.close[name].search(page, z):
+                if shut := self.close[name].search(page, z, last):
                     at = shut.end()
                 else:
                     never_closed.add(name)
                 continue
             name = m["name"]
             if name is None:
+                cut = z == last and (m["raw"] is not None and m["shut"] is None or page.startswith("<!--", a) and m["done"] is None)
                 continue
             name = name.lower()
             if name in self.inline:
@@ -111,21 +129,27 @@ class PageReader:
             flush()
             in_link = 0
             if m["end"]:
-                if any(t == name for t, _ in stack):
-                    while stack.pop()[0] != name:
+                if inside[name]:
+                    while leave() != name:
                         pass
                 continue
             if name in self.void:
                 continue
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                leave()
             shut = self.closes.get(name)
             if shut:
                 while stack and stack[-1][0] in shut:
-                    stack.pop()
-            stack.append((name, self.names(name, m["attrs"] or "")))
-        if at < len(page):
-            buffer.append(page[at:])
+                    leave()
+            stack.append((name, self.path(stack[-1][1] if stack else (), name, m["attrs"] or "")))
+            inside[name] += 1
+        if not cut:
+            rest = page[at:]
+            end = rest.find("<!--", max(0, last - at))
+            if end < 0:
+                end = rest.rfind("<", max(0, last - at))
+                end = end if self.opening.match(rest, max(end, 0)) and end >= 0 else -1
+            buffer.append(rest if end < 0 else rest[:end])
         flush()
         return out
 
@@ -407,7 +431,8 @@ def labelled_blocks(pages: list[str], p, reader: PageReader, encoder: Encoder) -
 
 def _extract(model, columns: list[str], page: str):
     def run(batches):
-        p, reader, encoder = model.value, PageReader(), Encoder()
+        encoder = Encoder()
+        p, reader = model.value, PageReader(encoder.paths)
         for part in slices(batches, page, 1 << 20):
             pages = [x or "" for x in part.column(part.schema.get_field_index(page)).to_pylist()]
             found = labelled_blocks(pages, p, reader, encoder)

@@ -9,7 +9,8 @@ Test items are searched in blocks of a bounded number of words, each broadcast;
 are then merged. The index may be restricted to the terms of the items, as other terms never match.
 
 Null texts and texts without words have no matches, as do items without words. Equal items match alike, repeated rows are
-judged each. Items with a null id count under the empty name.
+judged each. Items with a null id count under the empty name. Very long texts are indexed whole, as a segment of their own. An
+empty table of documents gives no rows, one of items no hits; extra columns are ignored.
 """
 
 import hashlib
@@ -81,10 +82,8 @@ def item_windows(items: list[tuple], window: int = WINDOW) -> dict[tuple[bytes,
     for item, text in items:
         w = words_of(text, bytes_)
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            ids = out.setdefault(tuple(w[i : i + window]), [])
-            if item not in ids:
-                ids.append(item)
-    return out
+            out.setdefault(tuple(w[i : i + window]), {})[item] = None
+    return {x: list(ids) for x, ids in out.items()}
 
 
 def _intersect(lists: list[np.ndarray], slop: int) -> np.ndarray:
