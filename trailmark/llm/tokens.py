@@ -40,6 +40,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 WHITE = "".join(f"\\x{{{i:04X}}}" for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")
 
 
+def _found(pieces: pa.Array, known: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each piece among the known ones, -1 where there is none, and the pieces without one."""
+    at = pc.index_in(pieces, known)
+    return pc.fill_null(at, -1).to_numpy().astype(np.int64), pieces.filter(at.is_null())
+
+
 class PieceEncoder:
     """Encodes columns of texts piece by piece and remembers the pieces.
 
@@ -99,18 +105,18 @@ class PieceEncoder:
         """Encodes pieces that are not known."""
         split = pc.extract_regex(pieces, self.SIGNED)
         signed, words, signs = pieces.filter(split.is_valid()), *split.drop_null().flatten()
-        need = pieces.filter(split.is_null())
-        missing = pc.unique(words)
-        missing = missing.filter(pc.invert(pc.or_(pc.is_in(missing, self.known), pc.is_in(missing, need))))
-        need = pa.concat_arrays([need, missing])
+        need, words, before = pieces.filter(split.is_null()), words.dictionary_encode(), len(self.known)
+        places, lack = _found(words.dictionary, self.known)
+        need = pa.concat_arrays([need, lack.filter(pc.invert(pc.is_in(lack, need)))])
         white = pc.match_substring_regex(need, rf"[ \n{WHITE}]")
         white, need = need.filter(white), need.filter(pc.invert(white))
         self.known = pa.concat_arrays([self.known, need, white])
         self.store = _Runs.of([self.store, self._after_space(need.to_pylist()), self._alone([" " + p for p in white.to_pylist()])])
         if len(signed):
+            places[places < 0] = before + _found(lack, self.known.slice(before))[0]
             coded = signs.dictionary_encode()
             both = _Runs.of([self.store, self._alone(coded.dictionary.to_pylist())])
-            pairs = np.stack([pc.index_in(words, self.known).to_numpy().astype(np.int64), coded.indices.to_numpy() + len(self.known)], 1)
+            pairs = np.stack([places[words.indices.to_numpy()], coded.indices.to_numpy() + len(self.known)], 1)
             self.known = pa.concat_arrays([self.known, signed])
             self.store = _Runs.of([self.store, _Runs(both.gather(pairs.ravel()), both.size[pairs].sum(1))])
 
@@ -133,12 +139,13 @@ class PieceEncoder:
         tail[edges[:-1]] = False
         at = np.flatnonzero(np.bincount(codes[tail], minlength=len(coded.dictionary)))
         used = coded.dictionary.take(pa.array(at))
-        found = pc.index_in(used, self.known)
-        if found.null_count:
-            self._learn(used.filter(found.is_null()))
-            found = pc.index_in(used, self.known)
+        found, new = _found(used, self.known)
+        if len(new):
+            before = len(self.known)
+            self._learn(new)
+            found[found < 0] = before + _found(new, self.known.slice(before))[0]
         place = np.zeros(len(coded.dictionary), np.int64)
-        place[at] = found.to_numpy()
+        place[at] = found
         places = place[codes]
         first, which = np.unique(codes[edges[:-1]], return_inverse=True)
         store = _Runs.of([self.store, self._alone(coded.dictionary.take(pa.array(first)).to_pylist())])
