@@ -85,6 +85,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def cut_sql(column: str, pattern: str) -> str:
+    """SQL for the words of a text, A-Z lower-cased; null has none."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{upper.lower()}'), '{pattern}')"
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from trailmark.llm.common import forget, mix64, slices, table, texts_of, written
+from trailmark.llm.common import cut_sql, forget, mix64, slices, table, texts_of, written
 
 WORDS = 4
 PERCENT = 85
@@ -514,3 +514,17 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 def op9_partenum_join(spark, sf_dir: str) -> DataFrame:
     return membership(table(spark, sf_dir, "documents"))
+
+
+def join_sql(words: int = WORDS, percent: int = PERCENT) -> str:
+    """The rows of the join by comparing all sets that share a shingle."""
+    cut, last = cut_sql("text", r"[^\x20\x09-\x0D]+"), words - 1
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {cut} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + {last}], ' ') AS x
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT s.r AS a, t.r AS b, count(*) AS c FROM s JOIN s AS t ON s.x = t.x AND s.r <> t.r GROUP BY ALL)
+  JOIN n ON n.r = a JOIN n AS m ON m.r = b WHERE 100 * c >= {percent} * (n.n + m.n - c)),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.q),
+c AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.q GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)"""

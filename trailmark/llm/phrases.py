@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from trailmark.llm.common import slices, table, texts_of, written
+from trailmark.llm.common import cut_sql, slices, table, texts_of, written
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -203,3 +203,19 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def hits_sql(window: int = WINDOW) -> str:
+    """The rows of op10 by joining every run of words with the windows."""
+    cut, last = cut_sql("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), window - 1
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {cut} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {cut} AS w FROM benchmark),
+x AS MATERIALIZED (SELECT DISTINCT item, least(len(w), {window}) AS n, array_to_string(w[p : p + {last}], ' ') AS x
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {last}, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+o AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS x
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM x))),
+f AS MATERIALIZED (SELECT r, p, n, item FROM o JOIN x USING (n, x)),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM f) GROUP BY r),
+k AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM f GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)"""
