@@ -33,8 +33,6 @@ PREFIXES = (4, 5, 6, 7)
 LEAST_DOCS = 4
 LEAST_Z = 5.0
 LEAST_WEIGHT = 1.5
-MAX_CANDIDATES = 300_000
-MAX_TERMS = 4000
 SEED_WEIGHT = 3.0
 NEGATION_REACH = 3
 THREAT_REACH = 4
@@ -148,17 +146,16 @@ class Scorer:
 N_FEATURES = len(Scorer.TAPES) + 4
 
 
-def _term_counts(only, text: str):
-    """Documents by (term, 1 or 2 occurrences at least); with `only`, of those terms."""
+def _term_counts(text: str):
+    """Documents by (term, 1 or 2 occurrences at least)."""
     def run(batches):
-        wanted, counts = only.value if only else None, {}
+        counts = {}
         for part in slices(batches, text):
             for t in texts_of(part, text):
                 own: dict[str, int] = {}
                 for w in RUN.findall(t.lower()):
                     for x in terms_of(w):
-                        if wanted is None or x in wanted:
-                            own[x] = own.get(x, 0) + 1
+                        own[x] = own.get(x, 0) + 1
                 for x, n in own.items():
                     counts[x, 1] = counts.get((x, 1), 0) + 1
                     if n > 1:
@@ -190,30 +187,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, per
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, tuple[float, int]]:
-    sc = sample.sparkSession.sparkContext
     n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     seeds = {"=" + w: (SEED_WEIGHT, 1) for w in INSULTS}
     if not n.get(0) or not n.get(1):
         return seeds
 
-    def counted(y: int, only=None) -> DataFrame:
-        d = sample.where(F.col("y") == y).select("text").mapInArrow(_term_counts(only, "text"), "term string, times int, n long")
-        return d.groupBy("term", "times").agg(F.sum("n").alias("n"))
-
-    ones = {(r["term"], r["times"]): r["n"] for r in counted(1).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term", "times").limit(MAX_CANDIDATES).collect()}
-    wanted = sc.broadcast({t for t, _ in ones})  # at most MAX_CANDIDATES
-    zeros = {(r["term"], r["times"]): r["n"] for r in counted(0, wanted).collect()}
-    found = []
-    for (term, times), k in ones.items():
-        m = zeros.get((term, times), 0)
-        p1, p0, p = k / n[1], m / n[0], (k + m) / (n[0] + n[1])
-        z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
-        weight = float(np.log((k + 0.5) / (n[1] + 1)) - np.log((m + 0.5) / (n[0] + 1)))
-        if z >= LEAST_Z and weight >= LEAST_WEIGHT:
-            found.append((z, term, times, weight))
-    found.sort(key=lambda f: (-f[0], f[1], f[2]))
+    def counted(y: int, name: str) -> DataFrame:
+        d = sample.where(F.col("y") == y).select("text").mapInArrow(_term_counts("text"), "term string, times int, n long")
+        return d.groupBy("term", "times").agg(F.sum("n").alias(name))
+
+    d = counted(1, "k").where(F.col("k") >= LEAST_DOCS).join(counted(0, "m"), ["term", "times"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    p = (F.col("k") + F.col("m")) / (n[0] + n[1])
+    z = (F.col("k") / n[1] - F.col("m") / n[0]) / F.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    weight = F.log((F.col("k") + 0.5) / (n[1] + 1)) - F.log((F.col("m") + 0.5) / (n[0] + 1))
+    d = d.select("term", "times", z.alias("z"), weight.alias("weight")).where((F.col("z") >= LEAST_Z) & (F.col("weight") >= LEAST_WEIGHT))
+    found = sorted(((r["z"], r["term"], r["times"], r["weight"]) for r in d.collect()), key=lambda f: (-f[0], f[1], f[2]))  # terms of the bounded sample
     out = dict(seeds)
-    for _, term, times, weight in found[:MAX_TERMS]:
+    for _, term, times, weight in found:
         if term not in out or weight > out[term][0]:
             out[term] = (weight, times)
     return out
@@ -285,7 +275,7 @@ def _score(model, key: str, text: str):
 
 def score(docs: DataFrame, model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score, predicted of every row; one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: terms of the bounded sample
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(_score(shared, key, text), f"`{key}` {kind}, score double, predicted int")
 
