@@ -6,7 +6,8 @@ goes to the executors in blocks of BLOCK languages. Documents are scored in slic
 document, with the best language and the sum of all likelihoods carried from block to block.
 
 Null texts and texts without a letter are `und` with score 0. Without any labelled row every text is `und`.
-Equal scores go to the language that comes first by code point.
+Equal scores go to the language that comes first by code point. Very long texts are read whole, as a slice of their own.
+Repeated rows teach and are scored each; a null language teaches nothing. An empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np

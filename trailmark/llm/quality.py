@@ -6,7 +6,8 @@ a language is the mean of the two Jensen-Shannon distances (base 2, so 0 to 1);
 nearest language. Texts under MIN_WORDS words are not judged by it: too few words make any histogram far from any other.
 
 Null texts have no words and fail the base rule. Without any reference the base rule alone decides. Repeated rows are
-judged each; a null language teaches nothing.
+judged each; a null language teaches nothing. Very long texts are counted whole, each within its row. Common words of equal
+count come in order of the word. An empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 import json

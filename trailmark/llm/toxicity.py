@@ -10,7 +10,9 @@ The insult lexicon is learned: whole words and word beginnings of 4 to 7 letters
 fitted on a bounded sample of labelled rows, TRAIN_PER_CLASS of each class by a hash of the key.
 
 Null and empty texts have no clauses; their score is that of a text without any match. Without labels of both classes the
-score is 1 - exp(-weight / 4) over the fixed list. Rows with equal keys are scored each.
+score is 1 - exp(-weight / 4) over the fixed list. Rows with equal keys are scored each, and so are labels with equal keys
+learned from. Very long texts are read whole, one at a time. A word with several terms has the heaviest, at equal weight the last
+in order. An empty table gives no rows. `score` ignores extra columns, `clean_rows` keeps them all.
 """
 
 import re

@@ -10,7 +10,8 @@ Given rules (allow or block a host with its subdomains and a path beginning) com
 block at equal length. Other URLs are blocked if a mined rule fires, else allowed.
 
 Null URLs and URLs without `://` have empty host and path and no tokens: allow. Without bad labels nothing is mined. Repeated
-URLs are judged each; a URL without a label teaches nothing.
+URLs are judged each; a URL without a label teaches nothing. Long URLs are read whole. An empty table gives no rows; extra
+columns are ignored. Rules that fire together are named by the surest, then the shortest, then by their tokens.
 """
 
 import pyarrow as pa
