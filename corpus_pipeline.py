@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's docs. Rows are identified by doc_id and a hash of the text, so equal ids with different texts stay apart.
+
+Null and empty texts pass the first three stages (rows that are equal in id and text become one) and are left out by the mix, which
+takes words. Very long texts are read whole. Of documents that are linked, the one with the smallest id stays, at equal ids that with
+the smallest hash. Empty tables give no rows. Extra columns are kept up to the last stage, whatever their names.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
