@@ -151,8 +151,10 @@ def test_token_files_are_read_in_part(spark, tmp_path):
     assert "ids" not in lengths._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (5, 80), (2, 60)])
-def test_join_finds_every_link(spark, n, percent):
+@pytest.mark.parametrize("n,percent,sample,split,block", [(4, 85, 64, 100, 256), (5, 80, 64, 100, 256), (2, 60, 64, 100, 256), (4, 85, 1, 2, 2), (2, 60, 3, 1, 3)])
+def test_join_finds_every_link(spark, monkeypatch, n, percent, sample, split, block):
+    for name, value in (("SAMPLE", sample), ("SPLIT", split), ("BLOCK", block)):  # small ones deal buckets in pieces and blocks
+        monkeypatch.setattr(jaccard, name, value)
     rnd, docs = random.Random(n), []
     for g in range(25):
         base = words(g, rnd.randrange(3, 200), 3000).split()

@@ -15,7 +15,8 @@ leave out and keep the rest.) What is left out depends on contents and a limit i
 the partitions without differences two sets leave out at most the more generous one's, and of those with one, which add
 half a partition each to what they have in common, each its own; so 2/3 and half of 2/3 are lost, and one stays.
 
-Spark groups signatures; of buckets with the same members one is kept. Nodes carry 1,024-bit parity sketches, whose differing
+Spark groups signatures, hot ones (a third of all rows may be near copies of each other) in pieces that are put together
+by one row for each; of buckets with the same members one is kept. Nodes carry 1,024-bit parity sketches, whose differing
 bits never exceed the sets' difference, and fine ones of as many bits as the set has elements; a pair is verified on whole
 sets only if both kinds allow it. First every node is tried with the nearest-looking of its
 buckets' smallest nodes, and with the smallest node that has the same lowest hash under each of three hashes; links found
@@ -55,6 +56,9 @@ HOT = 8
 #: SMALL and up to LARGE partitions, marks (how many hot partitions a node may leave out), and ones that are never left out.
 SMALL, LARGE = 1 << 10, 1 << 24
 KIND_SMALL, KIND_LARGE, KIND_MARK, KIND_KEPT = range(4)
+#: Signatures of one in SAMPLE texts are counted first. Those with SPLIT nodes or more there, and 1/HOTTEST of the counted rows
+#: (so that at most HOTTEST are broadcast, 16 bytes each), are dealt in pieces of about SPLIT * SAMPLE nodes.
+SAMPLE, SPLIT, HOTTEST = 64, 100, 100_000
 FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
 
@@ -408,21 +412,42 @@ def _without_hottest(hot: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.where(F.col("kept").isNull() | (F.col("heat") <= F.col("kept")) | (_kind() == KIND_KEPT)).select("sig", "node")
 
 
-def _distinct_buckets(sigs: DataFrame) -> DataFrame:
-    """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
-    are dealt out once; near copies share many, so that few buckets are left of them."""
-    bucket = Window.partitionBy("sig")
+def _hot_signatures(sampled: DataFrame, store) -> DataFrame:
+    """sig, pieces of the signatures that are dealt in pieces. What the sample holds decides where rows go, not which ones."""
+    sampled = store(sampled.distinct(), "sampled")
+    least = max(SPLIT, math.ceil(sampled.count() / HOTTEST))
+    counts = sampled.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least)
+    return store(counts.select("sig", F.ceil(F.col("m") / SPLIT).alias("pieces")), "hot")
+
+
+def _grouped(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """sig, node, piece with leader (smallest node), m (nodes) and content of the bucket, or of its piece: -1 for whole buckets."""
+    piece = F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(-1)).alias("piece")
+    dealt = rows.join(F.broadcast(hot), "sig", "left").select("sig", "node", piece)
+    once = dealt.repartition("sig", "piece").dropDuplicates(["sig", "piece", "node"])
+    over = Window.partitionBy("sig", "piece")
+    return (once.withColumn("leader", F.min("node").over(over)).withColumn("m", F.count(F.lit(1)).over(over))
+            .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(over)))
 
-    def grouped(once: DataFrame) -> DataFrame:
-        return (once.withColumn("leader", F.min("node").over(bucket)).withColumn("m", F.count(F.lit(1)).over(bucket))
-                .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(bucket)))
 
-    members = grouped(sigs.repartition("sig").dropDuplicates(["sig", "node"]))
-    members = written(members.where((F.col("m") > 1) | (_kind() == KIND_MARK)), "members")
+def _whole(members: DataFrame) -> DataFrame:
+    """Members with what their whole bucket has, of which pieces have only a part."""
+    split = members.where("piece >= 0")
+    total = split.groupBy("sig").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("content"))
+    split = split.select("sig", "node").join(F.broadcast(total), "sig")  # a row for each hot signature
+    return members.where("piece < 0").drop("piece").unionByName(split)
+
+
+def _distinct_buckets(sigs: DataFrame, hot: DataFrame) -> DataFrame:
+    """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
+    are dealt out once; near copies share many, so that few buckets are left of them."""
+    members = _grouped(sigs, hot)
+    members = written(members.where((F.col("m") > 1) | (F.col("piece") >= 0) | (_kind() == KIND_MARK)), "members")
     _let_go(sigs.sparkSession)
-    real, marks = members.where(_kind() != KIND_MARK), members.where(_kind() == KIND_MARK)
-    cooled = written(grouped(_without_hottest(real.where(F.col("m") >= HOT), marks)).where("m > 1"), "members")
-    members_left = real.where(F.col("m") < HOT).unionByName(cooled)
+    marks = members.where(_kind() == KIND_MARK)
+    real = _whole(members.where(_kind() != KIND_MARK)).where("m > 1")
+    cooled = written(_grouped(_without_hottest(real.where(F.col("m") >= HOT), marks), hot).where("m > 1 OR piece >= 0"), "members")
+    members_left = real.where(F.col("m") < HOT).unionByName(_whole(cooled).where("m > 1"))
     first = members_left.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
     buckets = written(members_left.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
     forget(members, cooled)
@@ -430,16 +455,15 @@ def _distinct_buckets(sigs: DataFrame) -> DataFrame:
 
 
 def _open_blocks(buckets: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, dealt into blocks and these into pairs of blocks. The members
+    """Members of buckets that hold more than one component, dealt into blocks by hash and these into pairs of blocks. The members
     of a bucket's largest component make blocks of their own, which aren't paired with each other."""
-    bucket = Window.partitionBy("sig")
     of = buckets.select("sig", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     size = of.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("k"))
     size = size.groupBy("sig").agg(F.max(F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_ = of.join(size, "sig").select("sig", "node", "label", (F.col("label") == F.col("main.label")).alias("in_main"), F.col("main.k").alias("k"), (F.col("m") - F.col("main.k")).alias("others"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rank = F.row_number().over(Window.partitionBy("sig", "in_main").orderBy("node"))
-    own = F.floor((rank - 1) / BLOCK).cast("int") + F.when(F.col("in_main"), blocks("others")).otherwise(0)
+    place = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    own = F.when(F.col("in_main"), blocks("others") + place("k")).otherwise(place("others"))
     last = F.when(F.col("in_main"), blocks("others")).otherwise(blocks("others") + blocks("k")) - 1
     open_ = open_.withColumn("block", own).withColumn("last", last).join(sketches, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return open_.select("sig", "node", "label", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -462,8 +486,9 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     docs = docs.select(key, text)
     kind = dict(docs.dtypes)[key]
     nodes = store(docs.mapInArrow(_nodes(words, key, text), f"`{key}` {kind}, n_shingles long, node long"), "nodes")
-    sigs = docs.select(text).mapInArrow(_signatures(words, percent, text), "sig long, node long")
-    buckets = _distinct_buckets(sigs)
+    sigs_of = lambda d: d.select(text).mapInArrow(_signatures(words, percent, text), "sig long, node long")
+    hot = _hot_signatures(sigs_of(docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)), store)
+    buckets = _distinct_buckets(sigs_of(docs), hot)
     made.append(buckets)
     _let_go(spark)
 
@@ -480,7 +505,8 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     near = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near(percent), "a long, b long, gap double")
     best = near(stars).groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
     alike = sets.select(F.col("node").alias("b"), F.posexplode("lowest").alias("i", "low"))  # similar sets often share a lowest hash
-    alike = alike.join(alike.groupBy("i", "low").agg(F.min("b").alias("a")), ["i", "low"]).where("a <> b").select("a", "b").distinct()
+    first = store(alike.groupBy("i", "low").agg(F.min("b").alias("a"), F.max("b").alias("b")).where("a <> b").drop("b"), "first")
+    alike = alike.join(first, ["i", "low"]).where("a <> b").select("a", "b").distinct()
     likely = store(best.unionByName(near(alike).select("a", "b")).distinct(), "pairs")
     tested = store(_possible(likely, sets, percent), "pairs")
     links = store(_verified(tested, sets, percent), "links")
