@@ -91,9 +91,16 @@ def cut_sql(column: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({column}, ''), '{upper}', '{upper.lower()}'), '{pattern}')"
 
 
+_SHIFTS = tuple(map(np.uint64, (30, 27, 31)))
+_FACTORS = tuple(map(np.uint64, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
-    x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x.astype(np.uint64, copy=False) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & (2**64 - 1))
+    x ^= x >> _SHIFTS[0]
+    x *= _FACTORS[0]
+    x ^= x >> _SHIFTS[1]
+    x *= _FACTORS[1]
+    x ^= x >> _SHIFTS[2]
+    return x

@@ -166,12 +166,14 @@ def _bits(kind: int, band: int, number, digest):
     return head | place | (np.asarray(digest, np.uint64) >> np.uint64(64 - low))
 
 
-def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]]) -> np.ndarray:
-    out = []
+def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]], node: int | None = None) -> np.ndarray:
+    """node: the set's identity, if it is known."""
+    out, mixed = [], mix64(s, 3)
+    node = node_of(s) if node is None else node
     for band, _, n1, spare in instances(percent, len(s), known):
         cell = (mix64(s, 101 + band) % np.uint64(n1 * PARTS)).astype(np.int64)
         content = np.zeros(n1 * PARTS, np.uint64)
-        np.add.at(content, cell, mix64(s, 3))
+        np.add.at(content, cell, mixed)
         content = content.reshape(n1, PARTS)
         filled = np.bincount(cell, minlength=n1 * PARTS).reshape(n1, PARTS) > 0
         has = np.stack([filled[:, list(c)].any(1) for c in SUBSETS], 1)
@@ -187,7 +189,7 @@ def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]]) -> np.
                 sig = mix64(sig ^ content[use, c], c)
             out.append(_bits(kind, band, at, sig))
         if len(empty) < most:
-            out.append(_bits(KIND_MARK, band, [min(most - len(empty), LARGE - 1)], np.array([node_of(s)]).view(np.uint64)))
+            out.append(_bits(KIND_MARK, band, [min(most - len(empty), LARGE - 1)], np.array([node]).view(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -215,7 +217,7 @@ def _signatures(words: int, percent: int, text: str):
                     seen.add(x)
                 if known[-1][1] < len(s):
                     known = bands(percent, len(s))
-                sig.append(signatures(s, percent, known))
+                sig.append(signatures(s, percent, known, x))
                 node.append(np.full(len(sig[-1]), x, np.int64))
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
@@ -421,32 +423,34 @@ def _hot_signatures(sampled: DataFrame, store) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """sig, node, piece with leader (smallest node), m (nodes) and content of the bucket, or of its piece: -1 for whole buckets."""
-    piece = F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(-1)).alias("piece")
-    dealt = rows.join(F.broadcast(hot), "sig", "left").select("sig", "node", piece)
-    once = dealt.repartition("sig", "piece").dropDuplicates(["sig", "piece", "node"])
-    over = Window.partitionBy("sig", "piece")
+    """sig, node, split with leader (smallest node), m (nodes) and content of the bucket, or of its piece where split names the
+    signature and sig the piece. One long key lets Spark sort by radix; pieces that meet another key only add candidates."""
+    piece = F.when(F.col("pieces").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", F.pmod(F.xxhash64("node"), F.col("pieces"))))
+    split = F.when(F.col("pieces").isNotNull(), F.col("sig"))
+    dealt = rows.join(F.broadcast(hot), "sig", "left").select(piece.alias("sig"), "node", split.alias("split"))
+    once = dealt.repartition("sig").dropDuplicates(["sig", "split", "node"])
+    over = Window.partitionBy("sig")
     return (once.withColumn("leader", F.min("node").over(over)).withColumn("m", F.count(F.lit(1)).over(over))
             .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(over)))
 
 
 def _whole(members: DataFrame) -> DataFrame:
     """Members with what their whole bucket has, of which pieces have only a part."""
-    split = members.where("piece >= 0")
+    split = members.where("split IS NOT NULL").drop("sig").withColumnRenamed("split", "sig")
     total = split.groupBy("sig").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("content"))
     split = split.select("sig", "node").join(F.broadcast(total), "sig")  # a row for each hot signature
-    return members.where("piece < 0").drop("piece").unionByName(split)
+    return members.where("split IS NULL").drop("split").unionByName(split)
 
 
 def _distinct_buckets(sigs: DataFrame, hot: DataFrame) -> DataFrame:
     """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
     are dealt out once; near copies share many, so that few buckets are left of them."""
     members = _grouped(sigs, hot)
-    members = written(members.where((F.col("m") > 1) | (F.col("piece") >= 0) | (_kind() == KIND_MARK)), "members")
+    members = written(members.where((F.col("m") > 1) | F.col("split").isNotNull() | (_kind() == KIND_MARK)), "members")
     _let_go(sigs.sparkSession)
-    marks = members.where(_kind() == KIND_MARK)
-    real = _whole(members.where(_kind() != KIND_MARK)).where("m > 1")
-    cooled = written(_grouped(_without_hottest(real.where(F.col("m") >= HOT), marks), hot).where("m > 1 OR piece >= 0"), "members")
+    whole = _whole(members)
+    real, marks = whole.where((_kind() != KIND_MARK) & (F.col("m") > 1)), whole.where(_kind() == KIND_MARK)
+    cooled = written(_grouped(_without_hottest(real.where(F.col("m") >= HOT), marks), hot).where("m > 1 OR split IS NOT NULL"), "members")
     members_left = real.where(F.col("m") < HOT).unionByName(_whole(cooled).where("m > 1"))
     first = members_left.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
     buckets = written(members_left.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
