@@ -416,10 +416,13 @@ def _without_hottest(hot: DataFrame, marks: DataFrame) -> DataFrame:
 
 def _hot_signatures(sampled: DataFrame, store) -> DataFrame:
     """sig, pieces of the signatures that are dealt in pieces. What the sample holds decides where rows go, not which ones."""
-    sampled = store(sampled.distinct(), "sampled")
+    sampled = written(sampled.distinct(), "sampled")
     least = max(SPLIT, math.ceil(sampled.count() / HOTTEST))
     counts = sampled.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least)
-    return store(counts.select("sig", F.ceil(F.col("m") / SPLIT).alias("pieces")), "hot")
+    hot = store(counts.select("sig", F.ceil(F.col("m") / SPLIT).alias("pieces")), "hot")
+    forget(sampled)
+    _let_go(hot.sparkSession)
+    return hot
 
 
 def _grouped(rows: DataFrame, hot: DataFrame) -> DataFrame:
