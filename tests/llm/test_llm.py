@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,55 @@ def test_left_out_signatures_leave_one_in_common():
                 assert left[0] & left[1]
 
 
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_packed_signatures_are_grouped():
+    """Like a plain grouping, whatever the packs, places and pieces are."""
+    rnd = np.random.default_rng(7)
+    sig = rnd.integers(0, 400, 6000, dtype=np.uint64) << np.uint64(8)
+    sig[rnd.random(6000) < 0.05] |= np.uint64(jaccard.KIND_MARK << 62)
+    node = rnd.integers(-20, 20, 6000)
+    sig, node = np.append(sig, np.arange(1000, 1700, dtype=np.uint64) << np.uint64(8)), np.append(node, np.full(700, 5))  # runs above 255
+    for places, hot in ((1, {}), (1, {256: 3, 512: 1}), (7, {256: 3, 512: 1, 1 << 40: 9})):
+        held = Held((np.array(sorted(hot), np.uint64), np.array([hot[k] for k in sorted(hot)], np.int64)))
+        packs = [jaccard._pack(sig[a : a + 900], node[a : a + 900], places, held) for a in range(0, len(sig), 900)]
+        table = pa.Table.from_batches(packs).sort_by("place").combine_chunks()
+        got = [r for b in jaccard._gathered(held)(table.to_batches(max_chunksize=3)) for r in b.to_pylist()]
+        want = {}
+        for s, x in zip(sig.tolist(), node.tolist()):
+            want.setdefault(s, set()).add(x)
+        found = {}
+        for r in got:
+            s = r["sig"] % 2**64
+            assert r["split"] == (s in hot) and r["node"] not in found.setdefault(s, set())
+            assert r["split"] or (r["m"], r["leader"]) == (len(want[s]), min(want[s]))
+            found[s].add(r["node"])
+        assert found == {s: x for s, x in want.items() if len(x) > 1 or s in hot or s >> 62 == jaccard.KIND_MARK}
+        same = {}
+        for r in got:
+            if not r["split"]:
+                same.setdefault(r["content"], set()).add(frozenset(want[r["sig"] % 2**64]))
+        assert all(len(x) == 1 for x in same.values())
+
+
+def test_join_moves_few_bytes_for_a_signature(spark):
+    """A node isn't written again for each of its signatures, however many partitions there are."""
+    docs = [(i, words(i, 300, 10**6)) for i in range(500)]
+    known = jaccard.bands(85, 300)
+    count = sum(len(jaccard.signatures(s, 85, known)) for s in jaccard.Shingler(4).sets([t for _, t in docs]))
+    moved = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    partitions, before = spark.conf.get("spark.sql.shuffle.partitions"), moved()
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        assert jaccard.membership(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).count() == 500
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert moved() - before < 10 * count
+
+
 def test_join_odd_rows(spark, odd):
     keyed = [(k, t) for k, t in rows(spark, odd) if k is not None]
     got = [tuple(r) for r in QUERIES["op9_partenum_join"](spark, odd).collect() if r["doc_id"] is not None]

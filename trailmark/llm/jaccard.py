@@ -15,7 +15,8 @@ leave out and keep the rest.) What is left out depends on contents and a limit i
 the partitions without differences two sets leave out at most the more generous one's, and of those with one, which add
 half a partition each to what they have in common, each its own; so 2/3 and half of 2/3 are lost, and one stays.
 
-Spark groups signatures, hot ones (a third of all rows may be near copies of each other) in pieces that are put together
+Signatures are dealt by hash into places of about PLACE rows, packed: a node is named once for all of its signatures in a place,
+which numpy then groups. Hot ones (a third of all rows may be near copies of each other) are dealt in pieces that are put together
 by one row for each; of buckets with the same members one is kept. Nodes carry 1,024-bit parity sketches, whose differing
 bits never exceed the sets' difference, and fine ones of as many bits as the set has elements; a pair is verified on whole
 sets only if both kinds allow it. First every node is tried with the nearest-looking of its
@@ -31,13 +32,14 @@ others. A null key never names a component that has another key. An empty table
 
 import gc
 import math
+from functools import partial
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from trailmark.llm.common import cut_sql, forget, mix64, slices, table, texts_of, written
+from trailmark.llm.common import cut_sql, forget, mix64, release, slices, table, texts_of, written
 
 WORDS = 4
 PERCENT = 85
@@ -54,11 +56,14 @@ LOWEST = 3
 HOT = 8
 #: Bits of a signature: kind (2), parity of the band (1), partition, hash of the contents. The kinds are signatures of up to
 #: SMALL and up to LARGE partitions, marks (how many hot partitions a node may leave out), and ones that are never left out.
+#: The lowest byte is 0 and isn't sent; signatures that meet by chance only add candidates.
 SMALL, LARGE = 1 << 10, 1 << 24
 KIND_SMALL, KIND_LARGE, KIND_MARK, KIND_KEPT = range(4)
 #: Signatures of one in SAMPLE texts are counted first. Those with SPLIT nodes or more there, and 1/HOTTEST of the counted rows
 #: (so that at most HOTTEST are broadcast, 16 bytes each), are dealt in pieces of about SPLIT * SAMPLE nodes.
 SAMPLE, SPLIT, HOTTEST = 64, 100, 100_000
+PLACE = 1 << 21  # rows of a place, by the sample; one is grouped at a time
+PACK = 1 << 20  # rows that are packed at a time
 FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
 
@@ -163,7 +168,7 @@ def _bits(kind: int, band: int, number, digest):
     low = 51 if kind == KIND_SMALL else 61 if kind == KIND_KEPT else 37
     head = np.uint64(kind << 62 | (band & 1) << 61)
     place = np.asarray(number, np.uint64) << np.uint64(low) if low < 61 else np.uint64(0)
-    return head | place | (np.asarray(digest, np.uint64) >> np.uint64(64 - low))
+    return head | place | (np.asarray(digest, np.uint64) >> np.uint64(64 - low)) & ~np.uint64(255)
 
 
 def signatures(s: np.ndarray, percent: int, known: list[tuple[int, int]], node: int | None = None) -> np.ndarray:
@@ -205,22 +210,148 @@ def _nodes(words: int, key: str, text: str):
     return run
 
 
+def _rows(words: int, percent: int, text: str, batches):
+    """Signatures and nodes of slices of texts; a node may come again."""
+    shingler, seen, known = Shingler(words), set(), bands(percent, 1)
+    for part in slices(batches, text):
+        sig, node = [], []
+        for s in shingler.sets(texts_of(part, text)):
+            if not len(s) or (x := node_of(s)) in seen:
+                continue
+            if len(seen) < SEEN_NODES:
+                seen.add(x)
+            if known[-1][1] < len(s):
+                known = bands(percent, len(s))
+            sig.append(signatures(s, percent, known, x))
+            node.append(np.full(len(sig[-1]), x, np.int64))
+        if sig:
+            yield np.concatenate(sig), np.concatenate(node)
+
+
 def _signatures(words: int, percent: int, text: str):
     def run(batches):
-        shingler, seen, known = Shingler(words), set(), bands(percent, 1)
-        for part in slices(batches, text):
-            sig, node = [], []
-            for s in shingler.sets(texts_of(part, text)):
-                if not len(s) or (x := node_of(s)) in seen:
-                    continue
-                if len(seen) < SEEN_NODES:
-                    seen.add(x)
-                if known[-1][1] < len(s):
-                    known = bands(percent, len(s))
-                sig.append(signatures(s, percent, known, x))
-                node.append(np.full(len(sig[-1]), x, np.int64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
+        for sig, node in _rows(words, percent, text, batches):
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], ["sig", "node"])
+
+    return run
+
+
+def _pieces(sig: np.ndarray, hot) -> np.ndarray:
+    """Pieces of each signature, 0 if it is not hot. hot: signatures in order, and their pieces."""
+    sigs, pieces = hot.value
+    if not len(sigs):
+        return np.zeros(len(sig), np.int64)
+    at = np.minimum(np.searchsorted(sigs, sig), len(sigs) - 1)
+    return np.where(sigs[at] == sig, pieces[at], 0)
+
+
+def _cuts(new: np.ndarray) -> np.ndarray:
+    """Starts of runs, from where a value differs from the one before."""
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+PACKED = "place int, nodes binary, counts binary, sigs binary"
+
+
+def _pack(sig: np.ndarray, node: np.ndarray, places: int, hot) -> pa.RecordBatch:
+    """A row for each place: its nodes, how many signatures follow each (255 at most, then the node comes again), and these."""
+    pieces = _pieces(sig, hot)
+    piece = mix64(node.view(np.uint64), 5) % np.maximum(pieces, 1).astype(np.uint64) + np.uint64(1)
+    place = (mix64(np.where(pieces > 0, sig ^ mix64(piece, 6), sig), 4) % np.uint64(places)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    sig, node, place = sig[order], node[order], place[order]
+    run = _cuts((place[1:] != place[:-1]) | (node[1:] != node[:-1]))
+    long = np.diff(run, append=len(sig))
+    if len(long) and long.max() > 255:
+        run = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(run.tolist(), long.tolist())])
+        long = np.diff(run, append=len(sig))
+    first = _cuts(place[1:] != place[:-1])
+    starts = np.searchsorted(run, first)
+
+    def binary(values: np.ndarray, at: np.ndarray, width: int) -> pa.Array:
+        offsets = (np.append(at, len(values)) * width).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(place[first]), binary(node[run], starts, 8), binary(long.astype(np.uint8), starts, 1), binary(sig.view(np.uint8).reshape(-1, 8)[:, 1:], first, 7)],
+        ["place", "nodes", "counts", "sigs"])
+
+
+def _packed(rows, places: int, hot):
+    """Packs what rows(batches) yields, PACK rows or more at a time."""
+    def run(batches):
+        parts, size = [], 0
+        for part in rows(batches):
+            parts.append(part)
+            size += len(part[0])
+            if size >= PACK:
+                yield _pack(*map(np.concatenate, zip(*parts)), places, hot)
+                parts, size = [], 0
+        if size:
+            yield _pack(*map(np.concatenate, zip(*parts)), places, hot)
+
+    return run
+
+
+def _plain_rows(batches):
+    for b in batches:
+        if b.num_rows:
+            sig, node = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("sig", "node"))
+            yield sig.view(np.uint64), node
+
+
+MEMBERS = "sig long, node long, split boolean, leader long, m long, content long"
+
+
+def _members(parts: list[pa.RecordBatch], hot) -> pa.RecordBatch:
+    """Of the packed rows of a place, the members of signatures with several nodes, of hot ones, and marks."""
+    joined = lambda c: b"".join(x for b in parts for x in b.column(b.schema.get_field_index(c)).to_pylist())
+    sent = np.frombuffer(joined("sigs"), np.uint8).reshape(-1, 7)
+    sig = np.zeros((len(sent), 8), np.uint8)
+    sig[:, 1:] = sent
+    sig = sig.view(np.uint64).ravel()
+    ends = np.cumsum(np.frombuffer(joined("counts"), np.uint8), dtype=np.int64)
+    order = np.argsort(sig)
+    ordered = sig[order]
+    equal = ordered[1:] == ordered[:-1]
+    keep = np.append(equal, False) | np.append(False, equal) | (ordered >> np.uint64(62) == KIND_MARK) | (_pieces(ordered, hot) > 0)
+    sig, order = ordered[keep], order[keep]
+    node = np.frombuffer(joined("nodes"), np.int64)[np.searchsorted(ends, order, side="right")]
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    once = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]  # copies in several tasks
+    sig, node = sig[once], node[once]
+    if len(sig):
+        first = _cuts(sig[1:] != sig[:-1])
+        m = np.diff(first, append=len(sig))
+        content = np.bitwise_xor.reduceat(mix64(node.view(np.uint64), 13), first).view(np.int64)
+        leader, m, content = (np.repeat(x, m) for x in (node[first], m, content))  # nodes are in order
+    else:
+        leader = m = content = node
+    split = _pieces(sig, hot) > 0
+    keep = (m > 1) | split | (sig >> np.uint64(62) == KIND_MARK)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x[keep]) for x in (sig.view(np.int64), node, split, leader, m, content)], ["sig", "node", "split", "leader", "m", "content"])
+
+
+def _gathered(hot):
+    """Members of each place; the packed rows come sorted by place."""
+    def run(batches):
+        release()
+        at, parts = None, []
+        for b in batches:
+            place = b.column(b.schema.get_field_index("place")).to_numpy()
+            first = _cuts(place[1:] != place[:-1]).tolist() if len(place) else []
+            for a, z in zip(first, [*first[1:], len(place)]):
+                if parts and place[a] != at:
+                    yield _members(parts, hot)
+                    parts = []
+                at = place[a]
+                parts.append(b.slice(a, z - a))
+        if parts:
+            yield _members(parts, hot)
+        parts = b = None
+        release()
 
     return run
 
@@ -414,46 +545,44 @@ def _without_hottest(hot: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.where(F.col("kept").isNull() | (F.col("heat") <= F.col("kept")) | (_kind() == KIND_KEPT)).select("sig", "node")
 
 
-def _hot_signatures(sampled: DataFrame, store) -> DataFrame:
-    """sig, pieces of the signatures that are dealt in pieces. What the sample holds decides where rows go, not which ones."""
+def _hot_signatures(sampled: DataFrame):
+    """Places to deal to, and signatures that are dealt in pieces with their number, as a broadcast. What the sample holds decides
+    where rows go, not which ones."""
     sampled = written(sampled.distinct(), "sampled")
-    least = max(SPLIT, math.ceil(sampled.count() / HOTTEST))
-    counts = sampled.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least)
-    hot = store(counts.select("sig", F.ceil(F.col("m") / SPLIT).alias("pieces")), "hot")
+    rows = sampled.count()
+    counts = sampled.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= max(SPLIT, math.ceil(rows / HOTTEST)))
+    hot = counts.select("sig", F.ceil(F.col("m") / SPLIT).alias("pieces")).toPandas()
     forget(sampled)
-    _let_go(hot.sparkSession)
-    return hot
+    spark = sampled.sparkSession
+    _let_go(spark)
+    sigs, pieces = hot["sig"].to_numpy(np.int64).view(np.uint64), hot["pieces"].to_numpy(np.int64)
+    order = np.argsort(sigs)
+    return math.ceil(rows * SAMPLE / PLACE) or 1, spark.sparkContext.broadcast((sigs[order], pieces[order]))
 
 
-def _grouped(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """sig, node, split with leader (smallest node), m (nodes) and content of the bucket, or of its piece where split names the
-    signature and sig the piece. One long key lets Spark sort by radix; pieces that meet another key only add candidates."""
-    piece = F.when(F.col("pieces").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", F.pmod(F.xxhash64("node"), F.col("pieces"))))
-    split = F.when(F.col("pieces").isNotNull(), F.col("sig"))
-    dealt = rows.join(F.broadcast(hot), "sig", "left").select(piece.alias("sig"), "node", split.alias("split"))
-    once = dealt.repartition("sig").dropDuplicates(["sig", "split", "node"])
-    over = Window.partitionBy("sig")
-    return (once.withColumn("leader", F.min("node").over(over)).withColumn("m", F.count(F.lit(1)).over(over))
-            .withColumn("content", F.expr("bit_xor(xxhash64(node))").over(over)))
+def _grouped(packed: DataFrame, hot) -> DataFrame:
+    """sig, node with leader (smallest node), m (nodes) and content of the bucket, or of a part of it where it is split. Buckets
+    with one node are left out, marks and parts are not."""
+    return packed.repartition("place").sortWithinPartitions("place").mapInArrow(_gathered(hot), MEMBERS)
 
 
 def _whole(members: DataFrame) -> DataFrame:
-    """Members with what their whole bucket has, of which pieces have only a part."""
-    split = members.where("split IS NOT NULL").drop("sig").withColumnRenamed("split", "sig")
+    """Members with what their whole bucket has, of which places have only a part where it is split."""
+    split = members.where("split").select("sig", "node")
     total = split.groupBy("sig").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(node))").alias("content"))
-    split = split.select("sig", "node").join(F.broadcast(total), "sig")  # a row for each hot signature
-    return members.where("split IS NULL").drop("split").unionByName(split)
+    split = split.join(F.broadcast(total), "sig")  # a row for each hot signature
+    return members.where("NOT split").drop("split").unionByName(split)
 
 
-def _distinct_buckets(sigs: DataFrame, hot: DataFrame) -> DataFrame:
+def _distinct_buckets(packed: DataFrame, places: int, hot) -> DataFrame:
     """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
     are dealt out once; near copies share many, so that few buckets are left of them."""
-    members = _grouped(sigs, hot)
-    members = written(members.where((F.col("m") > 1) | F.col("split").isNotNull() | (_kind() == KIND_MARK)), "members")
-    _let_go(sigs.sparkSession)
+    members = written(_grouped(packed, hot), "members")
+    _let_go(packed.sparkSession)
     whole = _whole(members)
     real, marks = whole.where((_kind() != KIND_MARK) & (F.col("m") > 1)), whole.where(_kind() == KIND_MARK)
-    cooled = written(_grouped(_without_hottest(real.where(F.col("m") >= HOT), marks), hot).where("m > 1 OR split IS NOT NULL"), "members")
+    cooled = _without_hottest(real.where(F.col("m") >= HOT), marks).mapInArrow(_packed(_plain_rows, places, hot), PACKED)
+    cooled = written(_grouped(cooled, hot), "members")
     members_left = real.where(F.col("m") < HOT).unionByName(_whole(cooled).where("m > 1"))
     first = members_left.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
     buckets = written(members_left.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
@@ -493,9 +622,9 @@ def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     docs = docs.select(key, text)
     kind = dict(docs.dtypes)[key]
     nodes = store(docs.mapInArrow(_nodes(words, key, text), f"`{key}` {kind}, n_shingles long, node long"), "nodes")
-    sigs_of = lambda d: d.select(text).mapInArrow(_signatures(words, percent, text), "sig long, node long")
-    hot = _hot_signatures(sigs_of(docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)), store)
-    buckets = _distinct_buckets(sigs_of(docs), hot)
+    sampled = docs.where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0).select(text)
+    places, hot = _hot_signatures(sampled.mapInArrow(_signatures(words, percent, text), "sig long, node long"))
+    buckets = _distinct_buckets(docs.select(text).mapInArrow(_packed(partial(_rows, words, percent, text), places, hot), PACKED), places, hot)
     made.append(buckets)
     _let_go(spark)
 
