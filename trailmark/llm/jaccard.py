@@ -64,6 +64,7 @@ KIND_SMALL, KIND_LARGE, KIND_MARK, KIND_KEPT = range(4)
 SAMPLE, SPLIT, HOTTEST = 64, 100, 100_000
 PLACE = 1 << 21  # rows of a place, by the sample; one is grouped at a time
 PACK = 1 << 20  # rows that are packed at a time
+TASKS = 10_000  # that group places, at most; more places share them
 FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
 
@@ -560,10 +561,10 @@ def _hot_signatures(sampled: DataFrame):
     return math.ceil(rows * SAMPLE / PLACE) or 1, spark.sparkContext.broadcast((sigs[order], pieces[order]))
 
 
-def _grouped(packed: DataFrame, hot) -> DataFrame:
+def _grouped(packed: DataFrame, places: int, hot) -> DataFrame:
     """sig, node with leader (smallest node), m (nodes) and content of the bucket, or of a part of it where it is split. Buckets
-    with one node are left out, marks and parts are not."""
-    return packed.repartition("place").sortWithinPartitions("place").mapInArrow(_gathered(hot), MEMBERS)
+    with one node are left out, marks and parts are not. Places are dealt in turn, so that each task has as many."""
+    return packed.repartitionById(min(places, TASKS), "place").sortWithinPartitions("place").mapInArrow(_gathered(hot), MEMBERS)
 
 
 def _whole(members: DataFrame) -> DataFrame:
@@ -577,12 +578,12 @@ def _whole(members: DataFrame) -> DataFrame:
 def _distinct_buckets(packed: DataFrame, places: int, hot) -> DataFrame:
     """sig, node, leader (its smallest node) of buckets with several nodes; of buckets with the same members, one. Signatures
     are dealt out once; near copies share many, so that few buckets are left of them."""
-    members = written(_grouped(packed, hot), "members")
+    members = written(_grouped(packed, places, hot), "members")
     _let_go(packed.sparkSession)
     whole = _whole(members)
     real, marks = whole.where((_kind() != KIND_MARK) & (F.col("m") > 1)), whole.where(_kind() == KIND_MARK)
     cooled = _without_hottest(real.where(F.col("m") >= HOT), marks).mapInArrow(_packed(_plain_rows, places, hot), PACKED)
-    cooled = written(_grouped(cooled, hot), "members")
+    cooled = written(_grouped(cooled, places, hot), "members")
     members_left = real.where(F.col("m") < HOT).unionByName(_whole(cooled).where("m > 1"))
     first = members_left.where("node = leader").groupBy("leader", "m", "content").agg(F.min("sig").alias("sig")).select("sig")
     buckets = written(members_left.join(first, "sig", "left_semi").select("sig", "node", "leader"), "buckets")
