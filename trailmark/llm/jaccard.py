@@ -62,8 +62,8 @@ KIND_SMALL, KIND_LARGE, KIND_MARK, KIND_KEPT = range(4)
 #: Signatures of one in SAMPLE texts are counted first. Those with SPLIT nodes or more there, and 1/HOTTEST of the counted rows
 #: (so that at most HOTTEST are broadcast, 16 bytes each), are dealt in pieces of about SPLIT * SAMPLE nodes.
 SAMPLE, SPLIT, HOTTEST = 64, 100, 100_000
-PLACE = 1 << 21  # rows of a place, by the sample; one is grouped at a time
-PACK = 1 << 20  # rows that are packed at a time
+PLACE = 1 << 20  # rows of a place, by the sample; one is grouped at a time
+PACK = 1 << 17  # rows that are packed at a time
 TASKS = 10_000  # that group places, at most; more places share them
 FEW_PAIRS = 250_000  # whose at most 500,000 nodes are broadcast, 8 bytes each
 
@@ -310,13 +310,17 @@ def _members(parts: list[pa.RecordBatch], hot) -> pa.RecordBatch:
     sent = np.frombuffer(joined("sigs"), np.uint8).reshape(-1, 7)
     sig = np.zeros((len(sent), 8), np.uint8)
     sig[:, 1:] = sent
-    sig = sig.view(np.uint64).ravel()
+    sent, sig = None, sig.view(np.uint64).ravel()
     ends = np.cumsum(np.frombuffer(joined("counts"), np.uint8), dtype=np.int64)
     order = np.argsort(sig)
-    ordered = sig[order]
-    equal = ordered[1:] == ordered[:-1]
-    keep = np.append(equal, False) | np.append(False, equal) | (ordered >> np.uint64(62) == KIND_MARK) | (_pieces(ordered, hot) > 0)
-    sig, order = ordered[keep], order[keep]
+    sig = sig[order]
+    equal = sig[1:] == sig[:-1]
+    keep = np.append(equal, False) | np.append(False, equal)
+    keep[slice(*np.searchsorted(sig, np.array([KIND_MARK << 62, KIND_KEPT << 62], np.uint64)))] = True
+    at = np.searchsorted(sig, hot.value[0])  # several rows of one signature are kept already
+    at = at[at < len(sig)]
+    keep[at] |= np.isin(sig[at], hot.value[0])
+    sig, order = sig[keep], order[keep]
     node = np.frombuffer(joined("nodes"), np.int64)[np.searchsorted(ends, order, side="right")]
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
