@@ -11,7 +11,7 @@ the smallest hash. Empty tables give no rows. Extra columns are kept up to the l
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm import jaccard, mixing, phrases, tokens, toxicity
-from trailmark.llm.common import table, written
+from trailmark.llm.common import small_batches, table, written
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -25,20 +25,24 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.clean_rows(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group that is linked by a Jaccard similarity of 80 % on five-word shingles."""
     keyed, key = _keyed(docs)
+    small_batches(spark)
     groups = jaccard.membership(keyed.select(key, "text"), key=key, words=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = groups.where(f"{key} = component_id").select(key)
+    hash_ = F.coalesce(f"{key}.hash", F.lit(0).cast("long"))  # never null; of the type that keyed has, so that the texts move once
+    first = groups.where(f"{key} = component_id").select(F.struct(f"{key}.id", hash_.alias("hash")).alias(key))
     return keyed.join(first, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark window occurs."""
     keyed, key = _keyed(docs)
+    small_batches(spark)
     found = phrases.contamination(keyed, table(spark, sf_dir, "benchmark"), key=key).where("contaminated").select(key).distinct()
     return keyed.join(found, key, "left_anti").drop(key)
 
@@ -50,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files; returns what they hold for each row."""
+    small_batches(spark)
     return tokens.encode_documents(docs)
 
 

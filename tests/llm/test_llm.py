@@ -264,6 +264,48 @@ def test_join_moves_few_bytes_for_a_signature(spark):
     assert moved() - before < 10 * count
 
 
+class Spied:
+    """A function over batches that notes the bytes of each."""
+
+    def __init__(self, run, path):
+        self.run, self.path = run, path
+
+    def __call__(self, batches):
+        def noted():
+            for b in batches:
+                with open(self.path, "a") as f:
+                    f.write(f"{b.get_total_buffer_size()}\n")
+                yield b
+
+        return self.run(noted())
+
+
+def test_join_holds_few_texts_at_a_time(spark, monkeypatch, tmp_path):
+    nodes, path = jaccard._nodes, f"{tmp_path}/bytes"
+    monkeypatch.setattr(jaccard, "_nodes", lambda *a: Spied(nodes(*a), path))
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), "id", F.repeat(F.lit("abcd efg "), 500)).alias("text"))
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(conf)
+    try:
+        assert jaccard.membership(docs).count() == 3000
+    finally:
+        spark.conf.unset(conf)
+    seen = [int(x) for x in open(path)]
+    assert sum(seen) > 12e6 and max(seen) < 5e6
+
+
+def test_near_copies_move_texts_once(spark, odd):
+    import corpus_pipeline as c
+
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(conf, "-1")
+    try:
+        plan = c.drop_near_copies(spark, spark.read.parquet(f"{odd}/documents.parquet"), odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(conf)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_join_odd_rows(spark, odd):
     keyed = [(k, t) for k, t in rows(spark, odd) if k is not None]
     got = [tuple(r) for r in QUERIES["op9_partenum_join"](spark, odd).collect() if r["doc_id"] is not None]

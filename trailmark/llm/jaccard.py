@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from trailmark.llm.common import cut_sql, forget, mix64, release, slices, table, texts_of, written
+from trailmark.llm.common import cut_sql, forget, mix64, release, slices, small_batches, table, texts_of, written
 
 WORDS = 4
 PERCENT = 85
@@ -619,6 +619,7 @@ def _let_go(spark: SparkSession) -> None:
 def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id: the smallest key reachable by links of similarity >= percent, itself included."""
     spark, made = docs.sparkSession, []
+    small_batches(spark)
 
     def store(df: DataFrame, name: str) -> DataFrame:
         made.append(written(df, name))
